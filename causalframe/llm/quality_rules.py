@@ -25,6 +25,7 @@ THRESHOLDS = (
     ("duplicate_lines", "n_dup_lines", "n_lines", None, 0.5),
     ("stop_words_per_word", "n_stop_words", "n_words", 0.002, None),
     ("words_with_letters", "n_alpha_words", "n_words", 0.6, None),
+    ("words_like_the_last", "n_same_words", "n_words", None, 0.3),
 )
 
 
@@ -70,9 +71,16 @@ def repeated_words(words: Column, window: int = 8) -> Column:
     return F.when(F.size(words) >= window, found).otherwise(F.lit(0)).cast("long")
 
 
+def _same_as_last(words: Column) -> Column:
+    """Words equal to the one before."""
+    n = F.size(words)
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: a == b)
+    return F.size(F.filter(pairs, lambda x: x)).cast("long")
+
+
 def quality_rules(docs: DataFrame, *, text_col: str = "text", thresholds=THRESHOLDS, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
     """The documents' columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words,
-    n_alpha_words (long), base_failed, failed_rules (names, comma-joined), kept.
+    n_alpha_words, n_same_words (long), base_failed, failed_rules (names, comma-joined), kept.
 
     base_failed: fewer than least_words words, or more than most_repeated percent of them in repeated windows. kept:
     not base_failed and every threshold holds. Whole texts are measured in one projection; nothing is shuffled.
@@ -93,8 +101,9 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", thresholds=THRESHO
         F.size(ls).cast("long").alias("n_lines"),
         F.size(F.filter(ws, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_alpha_words"),
+        _same_as_last(ws).alias("n_same_words"),
     ))))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_alpha_words"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_alpha_words", "n_same_words"]
     added = [*names, "base_failed", "failed_rules", "kept"]
     own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
 

@@ -32,6 +32,24 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from causalframe.llm.url_filter import filter_urls
+
+    return filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", F.col("url_score").alias("score"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from causalframe.llm.license_scan import scan_licenses
+
+    return scan_licenses(_read(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from causalframe.llm.html_text import extract_text
+
+    return extract_text(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from causalframe.llm.quality_rules import quality_rules
 
@@ -39,6 +57,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from causalframe.llm.quality_classifier import classify
+
+    judged = classify(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from causalframe.llm.jaccard_join import link_documents
+
+    return link_documents(_read(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,5 +85,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op6_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_token_files, op3_url_filter, op4_license_scan, op5_html_text, op6_quality_rules, op8_quality_classifier, op9_jaccard_join, op10_byte_bpe,
+)}
 SQL: dict[str, str] = {}

@@ -57,6 +57,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from causalframe.llm.embedding_dedup import link_vectors
+
+    return link_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from causalframe.llm.quality_classifier import classify
 
@@ -86,6 +92,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_token_files, op3_url_filter, op4_license_scan, op5_html_text, op6_quality_rules, op8_quality_classifier, op9_jaccard_join, op10_byte_bpe,
+    op1_packing, op2_token_files, op3_url_filter, op4_license_scan, op5_html_text, op6_quality_rules, op7_embedding_dedup, op8_quality_classifier, op9_jaccard_join, op10_byte_bpe,
 )}
 SQL: dict[str, str] = {}

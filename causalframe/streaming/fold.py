@@ -12,13 +12,17 @@ BUCKETS = 64
 class FrontierStore:
     """A frontier as Parquet, one folder for each version, partitioned by hash buckets of the path.
 
-    A batch rewrites the buckets that it touches; the others are named by the next version as they are. The batch id
-    makes a repeated batch write the same version again.
+    A batch rewrites the buckets that it touches and then adds their version to the manifest; the others stay. That commits
+    it: a repeated batch is left out, and a store that is opened again goes on from the manifest.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.current: dict[int, int] = {}
+        jvm = spark.sparkContext._jvm
+        manifest = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        there = manifest.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(manifest)
+        rows = spark.read.parquet(f"{self.path}/manifest").groupBy("bucket").agg(F.max("v").alias("v")).collect() if there else []
+        self.current: dict[int, int] = {r["bucket"]: r["v"] for r in rows}  # at most BUCKETS
 
     def _folder(self, version: int, bucket: int) -> str:
         return f"{self.path}/v={version}/bucket={bucket}"
@@ -31,9 +35,13 @@ class FrontierStore:
         bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
         newest = latest(batch).persist()
         touched = {r[0] for r in newest.select(bucket).distinct().collect()}
+        if not touched or batch_id <= max(self.current.values(), default=-1):  # the manifest has it: a repeated batch
+            newest.unpersist()
+            return
         old = self.read(touched)
         both = newest if old is None else newest.unionByName(old.select(newest.columns))
         latest(both).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={batch_id}")
+        self.spark.createDataFrame([(b,) for b in sorted(touched)], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={batch_id}")
         self.current |= {b: batch_id for b in touched}
         newest.unpersist()
 

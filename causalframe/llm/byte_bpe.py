@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+from array import array
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from causalframe.llm.common import written
 from causalframe.llm.pieces import cut_spaced, text_batches
 
 
@@ -95,16 +97,96 @@ def _encode(word: Column, table: Column, slots: int) -> Column:
     return F.when(F.size(word) > 1, _let(single, fold)).otherwise(single).cast("array<int>")
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 48_000_000) -> DataFrame:
+def _bytes_lists(words: list[bytes]):
+    """Words as Arrow lists of their bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int16)))
+
+
+def _blocks(batches, block_bytes: int):
+    """(ids, texts, Arrow type of the ids) in blocks of about block_bytes of text."""
+    keys, texts, size, key_type = [], [], 0, None
+    for batch in batches:
+        key_type = batch.schema.field(0).type
+        for k, t in text_batches(batch, 0, 1):
+            keys += k
+            texts += t
+            size += sum(len(x or b"") for x in t)
+            if size >= block_bytes:
+                yield keys, texts, key_type
+                keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts, key_type
+
+
+def common_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int, most: int) -> dict[str, bytes]:
+    """ids of the words that stand in the most blocks, at most `most` words and none of a single block; folded once for all tasks.
+
+    Words of all rows are counted by block; the least count that keeps within `most` is the bound. The driver gets a
+    histogram with a row for each count, and the words and their ids.
+    """
+
+    def distinct(batches):
+        import pyarrow as pa
+        import regex
+
+        matches = regex.compile(pattern).findall
+        for _, texts, _ in _blocks(batches, block_bytes):
+            words: set[str] = set()
+            for piece in set().union(*(cut_spaced(t) for t in texts if t)):
+                words.update(matches(piece.decode("utf-8", "replace")))
+            listed = [w.encode() for w in words]
+            for i in range(0, len(listed), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(listed[i : i + 50_000], pa.binary())], ["word"])
+
+    counted = written(rows.mapInArrow(distinct, "word binary").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "words")
+    bound, total = None, 0
+    for r in sorted(counted.groupBy("n").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["n"]):
+        total += r["words"]
+        if total > most:
+            break
+        bound = r["n"]
+    if bound is None:
+        return {}
+
+    def listed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), _bytes_lists(words)], ["word", "list"])
+
+    chosen = counted.where(F.col("n") >= bound).select("word").mapInArrow(listed, "word binary, list array<smallint>")
+    table = chosen.select("word", encode_words(F.col("list"), ranks).alias("ids")).toArrow()
+    found: dict[str, bytes] = {}
+    for batch in table.to_batches(20_000):
+        starts, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().astype("<u4").tobytes()
+        for i, w in enumerate(batch.column(0).to_pylist()):
+            found[w.decode()] = flat[4 * starts[i] : 4 * starts[i + 1]]
+    return found
+
+
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 48_000_000, most_common: int = 800_000) -> DataFrame:
     """Encode every whole text: a row (id column, ids array of int, ids_bytes little-endian unsigned 32-bit) for each document.
 
-    Texts are cut by `pattern` and each match is encoded separately. A task reads its rows in blocks of block_bytes of
-    text: first come the block's distinct words, which Spark folds to ids (encode_words), then its documents as numbers
-    of those words, whose ids are put together. Nothing is shuffled and memory is bounded by a block.
+    Texts are cut by `pattern` and each match is encoded separately. Up to most_common words that stand in several
+    blocks are folded first and broadcast with their ids, some tens of megabytes whatever the input. Then a task reads
+    its rows in blocks of block_bytes of text: first come the block's other distinct words, which Spark folds to ids
+    (encode_words), then its documents as numbers of words, whose ids are put together. Texts are not shuffled, and
+    memory is bounded by a block.
 
     Null and empty texts have no ids. Null ids and repeated rows are kept, other columns ignored.
     """
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
+    ranks = load_ranks(ranks_path)
+    rows = docs.select(F.col(id_col), F.col(text_col))
+    common = common_words(rows, ranks, pattern, block_bytes, most_common)
+    numbered = spark.sparkContext.broadcast({w: i for i, w in enumerate(common)})
+    encoded = spark.sparkContext.broadcast(list(common.values()))
 
     def cut(batches):
         import numpy as np
@@ -112,66 +194,57 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
         import regex
 
         matches = regex.compile(pattern).findall
-
-        def block(keys, texts, key_type):
+        number = numbered.value
+        for keys, texts, key_type in _blocks(batches, block_bytes):
             words: dict[str, int] = {}
             known: dict[bytes, bytes] = {}
-            rows = []
+            held = []
             for text in texts:
                 pieces = cut_spaced(text) if text else []
                 for x in set(pieces).difference(known):
-                    known[x] = np.array([words.setdefault(w, len(words)) for w in matches(x.decode("utf-8", "replace"))], "<i4").tobytes()
-                rows.append(b"".join(map(known.__getitem__, pieces)))
+                    at = []
+                    for w in matches(x.decode("utf-8", "replace")):
+                        n = number.get(w)
+                        at.append(len(number) + words.setdefault(w, len(words)) if n is None else n)
+                    known[x] = array("i", at).tobytes()
+                held.append(b"".join(map(known.__getitem__, pieces)))
             known.clear()
             raw = [w.encode() for w in words]
             words.clear()
             for i in range(0, len(raw), 10_000):
                 part = raw[i : i + 10_000]
-                ends = np.cumsum([0, *map(len, part)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(part), np.uint8).astype(np.int16)))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), key_type), lists, pa.nulls(len(part), pa.binary())], ["id", "word", "at"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), key_type), _bytes_lists(part), pa.nulls(len(part), pa.binary())], ["id", "word", "at"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), _bytes_lists([b""]), pa.nulls(1, pa.binary())], ["id", "word", "at"])  # ends the words
             start = size = 0
-            for i, r in enumerate(rows):
+            for i, r in enumerate(held):
                 size += len(r)
-                if size > 4_000_000 or i == len(rows) - 1:
+                if size > 4_000_000 or i == len(held) - 1:
                     n = i + 1 - start
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[start : i + 1], key_type), pa.nulls(n, pa.list_(pa.int16())), pa.array(rows[start : i + 1], pa.binary())], ["id", "word", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[start : i + 1], key_type), pa.nulls(n, pa.list_(pa.int16())), pa.array(held[start : i + 1], pa.binary())], ["id", "word", "at"])
                     start, size = i + 1, 0
 
-        keys, texts, size, key_type = [], [], 0, None
-        for batch in batches:
-            key_type = batch.schema.field(0).type
-            for k, t in text_batches(batch, 0, 1):
-                keys += k
-                texts += t
-                size += sum(len(x or b"") for x in t)
-                if size >= block_bytes:
-                    yield from block(keys, texts, key_type)
-                    keys, texts, size = [], [], 0
-        if keys:
-            yield from block(keys, texts, key_type)
-
     def join(batches):
         import numpy as np
-        import pyarrow as pa
 
-        words, in_words = [], False
+        words, in_words = encoded.value, False
+        base = len(words)
+        words = list(words)
         for batch in batches:
             key_type = batch.schema.field(0).type
             out_k, out_i, size = [], [], 0
-            at = batch.column(2)
-            lists = batch.column(1).cast(pa.list_(pa.int32()))
+            lists = batch.column(1)
             starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4").tobytes()
-            keys, idx, is_word = batch.column(0).to_pylist(), at.to_pylist(), at.is_null().to_pylist()
-            for i, w in enumerate(is_word):
-                if w:
+            keys, idx = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for i, at in enumerate(idx):
+                if at is None:
                     if not in_words:
-                        words, in_words = [], True
+                        del words[base:]
+                        in_words = True
                     words.append(flat[4 * starts[i] : 4 * starts[i + 1]])
                     continue
                 in_words = False
                 out_k.append(keys[i])
-                out_i.append(b"".join(map(words.__getitem__, np.frombuffer(idx[i], "<i4").tolist())))
+                out_i.append(b"".join(map(words.__getitem__, np.frombuffer(at, "<i4").tolist())))
                 size += len(out_i[-1])
                 if size > 8_000_000:
                     yield emit(out_k, out_i, key_type)
@@ -187,8 +260,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
         return pa.RecordBatch.from_arrays([pa.array(keys, key_type), lists, pa.array(ids, pa.binary())], [id_col, "ids", "ids_bytes"])
 
-    cut_rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, f"id {kind}, word array<smallint>, at binary")
-    folded = cut_rows.select("id", F.when(F.col("at").isNull(), encode_words(F.col("word"), load_ranks(ranks_path))).alias("ids"), "at")
+    cut_rows = rows.mapInArrow(cut, f"id {kind}, word array<smallint>, at binary")
+    folded = cut_rows.select("id", F.when(F.col("at").isNull(), encode_words(F.col("word"), ranks)).alias("ids"), "at")
     return folded.mapInArrow(join, f"`{id_col}` {kind}, ids array<int>, ids_bytes binary")
 
 

@@ -37,6 +37,29 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Tables:
+    """Written tables of one operator; those that no later step reads are dropped, so that they do not fill the folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = scratch(self.spark, "table")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables, and let Spark delete the shuffle files of what has been written."""
+        import gc
+
+        for t in tables:
+            delete(self.spark, self.paths.pop(id(t))[0])
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): one row (node, root) for each node in an edge, root the least node.
 

@@ -7,12 +7,14 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from causalframe.llm.common import components, written
+from causalframe.llm.common import Tables, components
 
 #: Shingle frequencies are counted in this many hash buckets; they only order shingles, so that collisions cost time, not links.
 BUCKETS = 1 << 18
 #: Which representatives' sets are read again is told to the tasks as a bit for each hash bucket of ids.
 ID_BUCKETS = 1 << 20
+#: Rounds in which classes are paired with list heads before the lists are scanned.
+STAR_TURNS = 2
 #: Looking at one pair costs about as much as writing this many rows.
 PAIR_COST = 32
 
@@ -52,11 +54,12 @@ class Shingler:
         return np.unique(h)
 
 
-def class_key(members) -> bytes:
-    """128 bits that stand for a set."""
-    from xxhash import xxh3_128_digest
+def class_key(members) -> int:
+    """A signed 64-bit hash that stands for a set."""
+    from xxhash import xxh3_64_intdigest
 
-    return xxh3_128_digest(members.tobytes())
+    h = xxh3_64_intdigest(members.tobytes())
+    return h - (1 << 64) if h >> 63 else h
 
 
 def bitmap(members) -> list[int]:
@@ -110,9 +113,10 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
        their sizes need link, and whoever links within such a group also links with its smallest set, so each set is
        paired with that one alone.
     3. Heavy classes, and light ones whose partner may be heavy, write their rarest shingles to inverted lists: linked
-       sets share one of them. Each class is first paired with the list head that it meets most; the verified ones
-       give a first set of components. Then the lists are scanned for pairs of different components that pass the
-       length, positional and bitmap bounds, which takes the squares out of groups of near copies and loses no link.
+       sets share one of them, in lists of sets of like sizes. In STAR_TURNS rounds each class is paired with the list
+       heads, by random order, that it meets most; the verified ones give components. Then the lists are scanned for
+       pairs of different components that pass the length, positional and bitmap bounds. The rounds take the squares
+       out of groups of near copies; the scan loses no link.
     4. Pairs are verified on whole sets; components follow from the links.
 
     A document without words has n_shingles 0, links with nothing and has its own id as component. Null ids take part:
@@ -144,13 +148,14 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     if len(seen) < 300_000:
                         seen.add(key)
                     np.add.at(counts, (members & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, longs), pa.nulls(len(n), pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, longs), pa.nulls(len(n), pa.int32())], names)
         full = np.flatnonzero(counts)
         for i in range(0, len(full), 50_000):
             part = full[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), key_type), pa.array(counts[part]), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), longs), pa.array(part.astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), key_type), pa.array(counts[part]), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), longs), pa.array(part.astype(np.int32))], names)
 
-    first = written(rows.mapInArrow(first_pass, f"id {id_type}, n long, key binary, bits array<bigint>, bucket int"), "shingles")
+    tables = Tables(spark)
+    first = tables.keep(rows.mapInArrow(first_pass, f"id {id_type}, n long, key long, bits array<bigint>, bucket int"))
     members = first.where("bucket is null").select("id", "n", "key", "bits")
     classes = members.where("n > 0").groupBy("key").agg(F.min("id").alias("least_id"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
 
@@ -176,7 +181,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         def flush():
             token = np.concatenate([x[0] for x in out]).view(np.int64)
             lengths = [len(x[0]) for x in out]
-            key = pa.array([x[1] for x in out], pa.binary()).take(pa.array(np.repeat(np.arange(len(out)), lengths)))
+            key = pa.array(np.repeat(np.array([x[1] for x in out], np.int64), lengths))
             n = np.repeat(np.array([x[2] for x in out], np.int32), lengths)
             return pa.RecordBatch.from_arrays([pa.array(token), key, pa.array(n), pa.array(np.concatenate([x[3] for x in out]))], ["token", "key", "n", "pos"])
 
@@ -204,47 +209,45 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if out:
             yield flush()
 
-    lists = written(rows.mapInArrow(second_pass, "token long, key binary, n int, pos int"), "lists")
+    lists = tables.keep(rows.mapInArrow(second_pass, "token long, key long, n int, pos int"))
     kind = F.when(F.col("pos") < 0, F.col("pos")).otherwise(F.lit(0)).alias("kind")
     heads = lists.groupBy("token", kind).agg(F.min(F.struct("n", "key")).alias("head"), F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
-    shared = written(
-        lists.withColumn("kind", kind).join(heads.select("token", "kind", F.col("head.key").alias("head"), F.col("head.n").alias("head_n")), ["token", "kind"]).distinct(), "lists"
-    )
-    fits = (percent * F.greatest("n", "head_n") <= 100 * F.least("n", "head_n")) & (F.col("key") != F.col("head"))
-    starred = shared.where(fits)
-    light = starred.where((F.col("kind") < 0) & ((100 + percent) * -F.col("kind") >= percent * (F.col("n") + F.col("head_n")))).select("key", "head").distinct()
-    most = starred.where("kind = 0").groupBy("key", "head").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
-    pairs = light.union(most).select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
+    shared = tables.keep(lists.withColumn("kind", kind).join(heads.select("token", "kind", "head"), ["token", "kind"]).distinct())
+    tables.drop(lists)
+    starred = shared.where((F.col("kind") < 0) & (F.col("key") != F.col("head.key")) & ((100 + percent) * -F.col("kind") >= percent * (F.col("n") + F.col("head.n"))))
+    light = tables.keep(starred.select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b")).distinct())
+    # sets that link lie in the same or in neighbouring classes of sizes, so they meet in a list of two neighbouring classes
+    size_class = F.floor(F.log(F.col("n") + F.lit(0.0)) / math.log(100 / percent)).cast("int")
+    sized = shared.where("kind = 0").select("token", "key", "n", "pos", F.explode(F.array(size_class, size_class + 1)).alias("g"))
+    full = sized.groupBy("token", "g").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("token", "g")
+    placed = tables.keep(sized.join(full, ["token", "g"]))
+    tables.drop(shared)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link, by whole sets."""
-        sized = (
-            pairs.join(classes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("least_id").alias("id_a")), "a")
-            .join(classes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("least_id").alias("id_b")), "b")
-        )
+        known = classes.select("key", "n", "bits", "least_id")
+        one, two = [known.select(F.col("key").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "bits", "least_id")]) for k in ("a", "b")]
+        both = pairs.join(one, "a").join(two, "b")
         apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         least = -F.floor(-(percent * (F.col("n_a") + F.col("n_b"))) / F.lit(100 + percent))
-        may = written(sized.where((percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & (F.col("n_a") + F.col("n_b") - 2 * least >= apart)).select("a", "b", "id_a", "id_b"), "pairs")
-        wanted = may.select(F.explode(F.array("id_a", "id_b")).alias("id")).select(F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int").alias("at")).distinct()
-        bits = np.zeros(ID_BUCKETS, bool)
-        bits[wanted.toPandas()["at"].to_numpy(np.int64)] = True
-        marked = spark.sparkContext.broadcast(np.packbits(bits))
-        again = rows.select(F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int").alias("at"), "text")
+        may = tables.keep(both.where((percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & (F.col("n_a") + F.col("n_b") - 2 * least >= apart)).select("a", "b", "least_id_a", "least_id_b"))
+        at = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int")
+        wanted = may.select(F.col("least_id_a").alias("id")).union(may.select("least_id_b")).select(at.alias("at")).distinct()
+        bits = np.zeros(ID_BUCKETS, np.uint8)
+        bits[wanted.toPandas()["at"].to_numpy(np.int64)] = 1
+        words = F.split(F.lit(",".join(map(str, np.packbits(bits, bitorder="little").view("<i8").tolist()))), ",").cast("array<bigint>")
+        asked = rows.where(F.getbit(F.get(words, F.shiftright(at, 6)), at.bitwiseAND(63)) == 1).select("text")
 
         def sets(batches):
-            import numpy as np
             import pyarrow as pa
 
-            shingler, asked = Shingler(width), np.unpackbits(marked.value).astype(bool)
+            shingler = Shingler(width)
             for batch in batches:
-                at = np.flatnonzero(asked[batch.column(0).to_numpy()])
-                found = [shingler.of(t) for t in batch.column(1).take(pa.array(at)).cast(pa.binary()).to_pylist()]
-                for i in range(0, len(found), 200):
-                    part = found[i : i + 200]
-                    yield pa.RecordBatch.from_arrays([pa.array([class_key(x) for x in part], pa.binary()), pa.array([x.tobytes() for x in part], pa.binary())], ["key", "members"])
+                for lo in range(0, batch.num_rows, 200):
+                    part = [shingler.of(t) for t in batch.column(0).slice(lo, 200).cast(pa.binary()).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([class_key(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())], ["key", "members"])
 
-        keys = may.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        store = written(again.mapInArrow(sets, "key binary, members binary").join(keys, "key", "left_semi"), "sets")
+        store = tables.keep(asked.mapInArrow(sets, "key long, members binary"))
 
         def compare(batches):
             import numpy as np
@@ -259,14 +262,41 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 keep = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-        both = may.select("a", "b").join(store.select(F.col("key").alias("a"), F.col("members").alias("x")), "a").join(store.select(F.col("key").alias("b"), F.col("members").alias("y")), "b")
-        return written(both.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary").distinct(), "links")
-
-    links = verified(pairs)
-    roots = components(links)
-    placed = shared.where("kind = 0").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    scanned = written(placed.join(mixed, "token", "left_semi").join(classes.select("key", "bits"), "key").select("token", "key", "n", "pos", "root", "bits"), "lists")
+        left, right = [store.select(F.col("key").alias(k), F.col("members").alias(m)) for k, m in (("a", "x"), ("b", "y"))]
+        met = may.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+        out = tables.keep(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
+        tables.drop(may, store)
+        return out
+
+    def stars(lists: DataFrame, seeds) -> DataFrame:
+        """For each class and seed the list head of another component that it meets most."""
+        out = None
+        for seed in seeds:
+            heads = lists.groupBy("token", "g").agg(F.min_by(F.struct("key", "n", "root"), F.xxhash64("key", F.lit(seed))).alias("head"))
+            met = lists.join(heads, ["token", "g"]).where((F.col("root") != F.col("head.root")) & (percent * F.greatest("n", "head.n") <= 100 * F.least("n", "head.n")))
+            most = met.groupBy("key", F.col("head.key").alias("other")).agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
+            out = most if out is None else out.union(most)
+        return out.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+    def mixed(links: DataFrame | None) -> DataFrame:
+        """The lists that hold more than one component, with each class's component."""
+        rooted = placed.withColumn("root", F.col("key"))
+        if links is not None:
+            rooted = placed.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+            several = rooted.groupBy("token", "g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "g")
+            rooted = rooted.join(several, ["token", "g"], "left_semi")
+        return tables.keep(rooted)
+
+    links = None
+    for turn in range(STAR_TURNS):
+        lists_now = mixed(links)
+        pairs = stars(lists_now, range(2 * turn, 2 * turn + 2))
+        new = verified(pairs.union(light).distinct() if turn == 0 else pairs)
+        links = new if links is None else links.union(new)
+        tables.drop(lists_now)
+    lists_now = mixed(links)
+    scanned = tables.keep(lists_now.drop("g").distinct().join(classes.select("key", "bits"), "key").select("token", "key", "n", "pos", "root", "bits"))
+    tables.drop(lists_now, placed)
     x, y = scanned.alias("x"), scanned.alias("y")
     least = -F.floor(-(percent * (F.col("x.n") + F.col("y.n"))) / F.lit(100 + percent))
     apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from causalframe.llm.pieces import PieceEncoder, text_batches
+from causalframe.llm.pieces import shared_encoder, text_batches
 
 
 class OpenWindows:
@@ -105,7 +105,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = PieceEncoder(tokenizer_path, spaced=False)
+        encoder = shared_encoder(tokenizer_path, spaced=False)
         end = np.array([end_id], "<u4").tobytes()
         next_seq = TaskContext.get().partitionId() << 40
         names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]

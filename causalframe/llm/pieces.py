@@ -7,14 +7,17 @@ text's ids are its pieces' ids in order. Whole texts are encoded; nothing is sho
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+from array import array
 
 #: Unicode's White_Space, as the tokenizers' patterns understand \s (Python's own \s also has U+001C to U+001F).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Two white-space characters in a row, or one outside ASCII: then pieces are found by _CHUNK.
-_ODD = re.compile(rb"[\t-\r ][\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: White space beside white space, or white space other than space and line feed, some of it told by a regular expression.
+_ODD = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_ODD_GENERAL = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 
 
 def cut_spaced(text: bytes) -> list[bytes]:
@@ -23,7 +26,7 @@ def cut_spaced(text: bytes) -> list[bytes]:
     No word of such a tokenizer holds white space after another character, so a cut before white space that follows
     another character is safe. The pieces joined are the text.
     """
-    if _ODD.search(text):
+    if any(x in text for x in _ODD) or (b"\xe2\x80" in text and _ODD_GENERAL.search(text)):
         return [x.encode() for x in _CHUNK.findall(text.decode("utf-8", "replace"))]
     first, *rest = text.replace(b"\n", b" \n").split(b" ")
     out = [x if x[:1] == b"\n" else b" " + x for x in rest]
@@ -31,14 +34,28 @@ def cut_spaced(text: bytes) -> list[bytes]:
 
 
 def cut_words(text: bytes) -> list[bytes]:
-    """Pieces between ASCII white space, for tokenizers that drop white space."""
-    return text.split()
+    """Pieces between ASCII white space, for tokenizers that drop white space and case.
+
+    A-Z is lower-cased here unless the text holds combining marks, which can join a capital and its small letter to
+    different characters before the tokenizer lower-cases them.
+    """
+    return (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
+
+
+#: A letter or digit, at the end of a piece: ASCII, or Latin-1 letters.
+_WORD_END = re.compile(rb"(?:[0-9A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
+
+
+def without_tail(piece: bytes) -> bytes:
+    """The piece without full stops and commas at its end, if a letter or digit stands before them: the tokenizers cut there."""
+    core = piece.rstrip(b".,")
+    return core if len(core) < len(piece) and _WORD_END.search(core) else piece
 
 
 class PieceEncoder:
     """ids of whole texts as little-endian unsigned 32-bit integers; remembers up to `most` pieces."""
 
-    def __init__(self, tokenizer_path: str, spaced: bool, most: int = 400_000):
+    def __init__(self, tokenizer_path: str, spaced: bool, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -49,21 +66,28 @@ class PieceEncoder:
         self.most = most
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        import numpy as np
-
         cut = [self.cut(t) if t else [] for t in texts]
         if len(self.known) > self.most:
             self.known = {}
         known = self.known
         new = list(set().union(*cut).difference(known)) if cut else []
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        cores = [without_tail(x) for x in new]
+        asked = list({y for x, core in zip(new, cores) for y in ((core,) if core is x else (core, x[len(core) :]))}.difference(known))
+        for i in range(0, len(asked), 20_000):
+            part = asked[i : i + 20_000]
             got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)
-            known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, got))
+            known.update((x, array("I", e.ids).tobytes()) for x, e in zip(part, got))
+        known.update((x, known[core] + known[x[len(core) :]]) for x, core in zip(new, cores) if core is not x)
         find = known.__getitem__
         return [b"".join(map(find, c)) for c in cut]
 
 
+@functools.lru_cache(maxsize=4)
+def shared_encoder(tokenizer_path: str, spaced: bool) -> PieceEncoder:
+    """One encoder for all tasks of a Python worker, which so remembers pieces between them."""
+    return PieceEncoder(tokenizer_path, spaced)
+
+
 def text_batches(batch, id_col: int, text_col: int, most_bytes: int = 4_000_000):
     """(doc ids, texts as bytes) of an Arrow batch, in runs of about most_bytes."""
     import pyarrow as pa

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from causalframe.llm import sql
 from causalframe.llm.common import ship
 
 
@@ -35,7 +36,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from causalframe.llm.url_filter import filter_urls
 
-    return filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", F.col("url_score").alias("score"))
+    return filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +95,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_token_files, op3_url_filter, op4_license_scan, op5_html_text, op6_quality_rules, op7_embedding_dedup, op8_quality_classifier, op9_jaccard_join, op10_byte_bpe,
 )}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_url_filter": sql.OP3, "op4_license_scan": sql.OP4, "op6_quality_rules": sql.OP6, "op7_embedding_dedup": sql.OP7, "op9_jaccard_join": sql.OP9,
+}

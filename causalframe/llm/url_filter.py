@@ -87,7 +87,7 @@ def filter_urls(pages: DataFrame, *, url_col: str = "url", rules=RULES) -> DataF
     """The pages' columns and host, path, rule, verdict, url_score.
 
     The rules' own decisions are the labelled URLs: distinct ones that an allow rule decides are accepted texts, those
-    that a block rule decides are rejected ones. Four fifths of them (by crc32 of the URL) fit the models; the rest
+    that a block rule decides are rejected ones. Four fifths of them (by MD5 of host and path) fit the models; the rest
     calibrate the threshold, which lies between the two classes' mean scores in proportion to their deviations. A URL
     without rule is allowed if its length-normalised log-likelihood difference reaches the threshold; 0 is the threshold
     where a class is missing. The driver holds the 32^3 ratios and two rows of statistics, whatever the input.
@@ -103,7 +103,7 @@ def filter_urls(pages: DataFrame, *, url_col: str = "url", rules=RULES) -> DataF
     text = F.concat("host", "path")
     allow = F.col("rule").isin([r for r, v in verdicts.items() if v == "allow"])
     labelled = judged.where(F.col("rule").isNotNull()).select(text.alias("text"), allow.alias("accepted")).distinct()
-    held = F.crc32("text") % 5 == 0
+    held = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 8), 16, 10).cast("long") % 5 == 0
     ratios = [r["ratio"] for r in fit(labelled.where(~held)).orderBy("gram").collect()]
     stats = {r["accepted"]: r for r in labelled.where(held).withColumn("s", scored(F.col("text"), ratios)).groupBy("accepted").agg(F.avg("s").alias("m"), F.coalesce(F.stddev_pop("s"), F.lit(0.0)).alias("d")).collect()}
     threshold = 0.0

@@ -12,7 +12,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causalframe.llm.pieces import PieceEncoder, text_batches
+from causalframe.llm.pieces import shared_encoder, text_batches
 
 
 def _open(folder: str):
@@ -43,7 +43,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, id_c
         fs_.create_dir(root, recursive=True)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         kind = "<u4" if wide else "<u2"
-        encoder, end = PieceEncoder(tokenizer_path, spaced=True), np.array([end_id], "<u4").tobytes()
+        encoder, end = shared_encoder(tokenizer_path, spaced=True), np.array([end_id], "<u4").tobytes()
         lengths, keys_out, nulls = [], [], 0
         with fs_.open_output_stream(f"{root}/{name}.ids") as out:
             for batch in batches:

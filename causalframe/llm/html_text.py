@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 #: Elements that hold no article text, and those that end a line.
 SKIPPED = frozenset("script style noscript template head title nav header footer aside form button select textarea iframe object svg canvas menu dialog audio video".split())
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hr fieldset center".split()) | SKIPPED
+#: Elements that may be the region of the article.
+REGIONS = frozenset("html body main article section div td center blockquote".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role of an element that is not part of the article.
 MARKS = frozenset(
@@ -18,6 +21,10 @@ MARKS = frozenset(
 )
 
 
+#: A tag or comment that the page's end cuts off.
+_CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
+
+
 class _Reader(HTMLParser):
     """Lines of a page: (text, tags, path of open containers), streamed from parser events."""
 
@@ -32,7 +39,7 @@ class _Reader(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, tuple(n for t, n, _ in self.open if t in BLOCKS and t != "p")))
+                self.lines.append((text, self.tags, tuple(n for t, n, _ in self.open if t in REGIONS)))
             self.parts = []
         self.tags = 0
 
@@ -123,7 +130,7 @@ def main_text(html: str | None, hold: float = 0.75) -> str:
     if not html:
         return ""
     reader = _Reader()
-    reader.feed(html)
+    reader.feed(_CUT_TAG.sub("", html))
     reader.close()
     reader.end_line()
     lines = reader.lines

@@ -701,6 +701,21 @@ def stream_frontier(spark, sf_dir):
     return store.read().select("path", "clk", "is_tombstone", "value")
 
 
+@query(f"WITH {CHANGES} SELECT epoch_us(date_trunc('hour', expires_at)) AS hour_us, count(*) AS n FROM changes WHERE expires_at IS NOT NULL GROUP BY 1")
+def stream_expiry(spark, sf_dir):
+    """How many versions expire in each hour, counted by a stream on the deadlines as event time."""
+    from causalframe.streaming.fold import expire_stream
+
+    stream = spark.readStream.schema(feeds.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    days = (1 + F.col("clk") % 14).cast("int")
+    feed = feeds.event_changes(stream).withColumn("expires_at", F.when(F.col("clk") % 3 != 0, F.col("commit_ts") + F.make_dt_interval(days)))
+    counts = expire_stream(feed, "1 day").select(micros("window.start").alias("hour_us"), "n")
+    folder = scratch(spark, "expiry")
+    write = counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(folder))
+    write.option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(folder)
+
+
 @query()
 def sha3_atom_hash(spark, sf_dir):
     from causalframe.functions.hashing import sha3_256

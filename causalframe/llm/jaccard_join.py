@@ -282,7 +282,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         """The lists that hold more than one component, with each class's component."""
         rooted = placed.withColumn("root", F.col("key"))
         if links is not None:
-            rooted = placed.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+            rooted = placed.join(components(links, rounds=2).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
             several = rooted.groupBy("token", "g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "g")
             rooted = rooted.join(several, ["token", "g"], "left_semi")
         return tables.keep(rooted)

@@ -40,34 +40,35 @@ def _words(text: Column) -> Column:
 def repeated_words(words: Column, window: int = 8) -> Column:
     """Words that lie in a window of `window` words found twice or more in the array.
 
-    Windows are sorted by their 128-bit hash, so equal ones are neighbours; the starts of those are sorted and each
-    covers the words up to its window's end or the next start. Runs in n log n for n words.
+    Windows are compared by a 64-bit hash of their words' hashes. If all are distinct, which a hash set tells, none
+    repeats. Else they are sorted with their starts, so that equal ones are neighbours; the starts of those are sorted
+    and each covers the words up to its window's end or the next start. Runs in n log n for n words.
     """
     def hashed(ws: Column) -> Column:
         return F.transform(ws, lambda w: F.xxhash64(w))
 
     def windows(hs: Column) -> Column:
-        def one(i: Column) -> Column:
-            part = [F.get(hs, i + k) for k in range(window)]
-            return F.struct(F.xxhash64(*part).alias("h"), F.hash(*part).alias("g"), i.alias("at"))
-
-        return F.array_sort(F.transform(F.sequence(F.lit(0), F.size(hs) - window), one))
-
-    def same(a: Column, b: Column) -> Column:
-        return (a["h"] == b["h"]) & (a["g"] == b["g"])
-
-    def repeated(ss: Column) -> Column:
-        last = F.size(ss) - 1
-        hit = F.filter(F.zip_with(F.sequence(F.lit(0), last), ss, lambda i, s: F.when(
-            F.when(i > 0, same(F.get(ss, i - 1), s)).otherwise(F.lit(False)) | F.when(i < last, same(F.get(ss, i + 1), s)).otherwise(F.lit(False)), s["at"]
-        )), lambda x: x.isNotNull())
-        return F.array_sort(hit)
-
-    def covered(starts: Column) -> Column:
+        """Hashes of all windows, doubling their width."""
+        out, width = hs, 1
+        while width < window:
+            n = F.size(hs) - 2 * width + 1
+            out = F.zip_with(F.slice(out, F.lit(1), n), F.slice(out, F.lit(width + 1), n), lambda a, b: F.xxhash64(a, b))
+            width *= 2
+        return out
+
+    def covered(gs: Column) -> Column:
+        order = F.array_sort(F.transform(gs, lambda g, i: F.struct(g.alias("g"), i.alias("at"))))
+        return _let(order, lambda ss: _let(F.array_sort(F.filter(F.transform(ss, lambda s, i: F.when(
+            ((i > 0) & (F.get(ss, i - 1)["g"] == s["g"])) | ((i < F.size(ss) - 1) & (F.get(ss, i + 1)["g"] == s["g"])), s["at"]
+        )), lambda x: x.isNotNull())), spread))
+
+    def spread(starts: Column) -> Column:
         following = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.lit(2_000_000_000)))
         return F.aggregate(F.zip_with(starts, following, lambda a, b: F.least(b - a, F.lit(window))), F.lit(0), lambda s, x: s + x)
 
-    found = _let(_let(_let(hashed(words), windows), repeated), lambda st: F.when(F.size(st) > 0, covered(st)).otherwise(F.lit(0)))
+    if window & (window - 1):
+        raise ValueError("the window must be a power of two")
+    found = _let(hashed(words), lambda hs: _let(windows(hs), lambda gs: F.when(F.size(F.array_distinct(gs)) == F.size(gs), F.lit(0)).otherwise(covered(gs))))
     return F.when(F.size(words) >= window, found).otherwise(F.lit(0)).cast("long")
 
 
@@ -108,7 +109,7 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", thresholds=THRESHO
     own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
 
     def ratio(over: str, under: str) -> Column:
-        return F.when(F.col(f"_m.{under}") > 0, F.col(f"_m.{over}") / F.col(f"_m.{under}")).otherwise(F.lit(0.0))
+        return F.when(F.col(under) > 0, F.col(over) / F.col(under)).otherwise(F.lit(0.0))
 
     def broken(name: str, over: str, under: str, least, most) -> Column:
         bad = F.lit(False)
@@ -119,8 +120,7 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", thresholds=THRESHO
         return F.when(bad, F.lit(name))
 
     failed = F.concat_ws(",", *[broken(*t) for t in thresholds])
-    base = (F.col("_m.n_words") < least_words) | (100 * F.col("_m.n_repeat_words") > most_repeated * F.col("_m.n_words"))
-    return (
-        docs.withColumn("_m", F.get(measured, F.lit(0)))
-        .select(*own, *[F.col(f"_m.{n}") for n in names], base.alias("base_failed"), failed.alias("failed_rules"), (~base & (failed == "")).alias("kept"))
-    )
+    base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
+    # as a generator's output the counts are worked out once, also under a filter on the verdict
+    counted = docs.select(*own, F.inline(measured))
+    return counted.select(*own, *names, base.alias("base_failed"), failed.alias("failed_rules"), (~base & (failed == "")).alias("kept"))

@@ -225,6 +225,16 @@ def dbsize(spark, sf_dir):
     return frontier(spark, sf_dir).agg(F.count(F.when(~F.col("is_tombstone"), 1)).alias("n"), F.count("*").alias("with_tombstones"))
 
 
+@query(f"""WITH {FRONTIER}, q AS (SELECT event_id AS ord, 'users:' || CAST(user_id + event_id % 3 AS VARCHAR) || ':value' AS path, CASE WHEN event_id % 5 <> 0 THEN event_id % 100 - 10 END AS seconds FROM events WHERE event_type = 'view')
+SELECT q.ord, q.path, CASE WHEN f.path IS NULL THEN 0 WHEN seconds > 0 THEN 1 WHEN seconds IS NULL AND f.expires_at IS NOT NULL THEN 1 ELSE 0 END AS reply,
+CASE WHEN f.path IS NULL THEN NULL WHEN seconds > 0 THEN epoch_us(TIMESTAMP '{AS_OF}') + seconds * 1000000 WHEN seconds IS NULL THEN NULL ELSE epoch_us(f.expires_at) END AS expires_us
+FROM q LEFT JOIN frontier f ON q.path = f.path AND NOT f.is_tombstone""")
+def expire_persist(spark, sf_dir):
+    seconds = F.when(F.col("ord") % 5 != 0, F.col("ord") % 100 - 10)
+    asked = _requests(spark, sf_dir).withColumn("seconds", seconds)
+    return A.expire(A.live(frontier(spark, sf_dir)), asked, as_of()).select("ord", "path", "reply", micros("expires_at").alias("expires_us"))
+
+
 @query(f"WITH {FRONTIER} SELECT path AS key FROM frontier WHERE NOT is_tombstone AND path LIKE 'users:1%'")
 def keys_prefix(spark, sf_dir):
     return C.keys(A.live(frontier(spark, sf_dir)).where(P.matches_prefix(F.col("path"), "users:1*")))

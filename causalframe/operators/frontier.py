@@ -73,3 +73,19 @@ def count_existing(frontier_live: DataFrame, requests: DataFrame) -> DataFrame:
 def flush(frontier: DataFrame, clk: int) -> DataFrame:
     """Tombstones for every path."""
     return frontier.select("path", F.lit(clk).cast("long").alias("clk"), F.lit(True).alias("is_tombstone"), F.lit(None).cast("string").alias("value"))
+
+
+def expire(frontier_live: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
+    """Deadline requests (ord, path, seconds; null seconds take the deadline away) with their reply and the new deadline.
+
+    1 if the deadline was set, or taken away where there was one; 0 for a missing path, and for seconds that are not
+    positive, which leave the path as it is.
+    """
+    have = frontier_live.select("path", F.col("expires_at").alias("_old"), F.lit(True).alias("_there"))
+    joined = requests.join(have, "path", "left")
+    there = F.coalesce(F.col("_there"), F.lit(False))
+    set_ = there & (F.col("seconds") > 0)
+    taken = there & F.col("seconds").isNull() & F.col("_old").isNotNull()
+    deadline = F.when(set_, F.timestamp_micros(F.unix_micros(as_of) + F.col("seconds") * 1_000_000)).when(~taken, F.col("_old"))
+    reply = F.when(F.coalesce(set_, F.lit(False)) | taken, 1).otherwise(0)
+    return joined.select("ord", "path", reply.alias("reply"), F.when(there, deadline).alias("expires_at"))

@@ -97,6 +97,29 @@ def _encode(word: Column, table: Column, slots: int) -> Column:
     return F.when(F.size(word) > 1, _let(single, fold)).otherwise(single).cast("array<int>")
 
 
+#: Fixed value: the pattern whose matches never hold white space after another character, so that texts may be cut there first.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _pieces(text: bytes | None, pattern: str) -> list[bytes]:
+    """Pieces that no match of the pattern crosses: between words for WORDS, the whole text for any other pattern."""
+    if not text:
+        return []
+    return cut_spaced(text) if pattern == WORDS else [text]
+
+
+def _cut(piece: str, findall, pattern: str) -> list[str]:
+    """The pattern's matches in a piece; for WORDS a run of letters, after a space or not and before one stop or comma or not, is known without it."""
+    if pattern != WORDS:
+        return findall(piece)
+    core = piece[1:] if piece[:1] == " " else piece
+    if core.isalpha():
+        return [piece]
+    if core[-1:] in (".", ",") and core[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    return findall(piece)
+
+
 def _bytes_lists(words: list[bytes]):
     """Words as Arrow lists of their bytes."""
     import numpy as np
@@ -136,8 +159,8 @@ def common_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_b
         matches = regex.compile(pattern).findall
         for _, texts, _ in _blocks(batches, block_bytes):
             words: set[str] = set()
-            for piece in set().union(*(cut_spaced(t) for t in texts if t)):
-                words.update(matches(piece.decode("utf-8", "replace")))
+            for piece in set().union(*(_pieces(t, pattern) for t in texts)):
+                words.update(_cut(piece.decode("utf-8", "replace"), matches, pattern))
             listed = [w.encode() for w in words]
             for i in range(0, len(listed), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(listed[i : i + 50_000], pa.binary())], ["word"])
@@ -200,10 +223,10 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
             known: dict[bytes, bytes] = {}
             held = []
             for text in texts:
-                pieces = cut_spaced(text) if text else []
+                pieces = _pieces(text, pattern)
                 for x in set(pieces).difference(known):
                     at = []
-                    for w in matches(x.decode("utf-8", "replace")):
+                    for w in _cut(x.decode("utf-8", "replace"), matches, pattern):
                         n = number.get(w)
                         at.append(len(number) + words.setdefault(w, len(words)) if n is None else n)
                     known[x] = array("i", at).tobytes()

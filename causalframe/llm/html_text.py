@@ -13,7 +13,8 @@ BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol
 #: Elements that may be the region of the article.
 REGIONS = frozenset("html body main article section div td center blockquote".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role of an element that is not part of the article.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words in class, id or role that hint at an element that is not part of the article; see _Reader.dropped.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
     "comment comments reply replies discussion disqus sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar "
@@ -26,20 +27,22 @@ _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
 class _Reader(HTMLParser):
-    """Lines of a page: (text, tags, path of open containers), streamed from parser events."""
+    """Lines of a page: (runs of text with their marked elements, tags, path of open containers), streamed from parser events."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number of the element, skipped
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.parts: list[str] = []
+        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, number of the element, skipped, marked elements from the top to it
+        self.raw: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
+        self.parts: list[tuple[str, tuple[int, ...]]] = []
+        self.sure: dict[int, bool] = {}  # marked element: whether its name consists of marks alone
+        self.articles: list[tuple[int, ...]] = []  # the marked elements around each article or main without marks
+        self.within = 0  # open article and main elements
         self.tags = self.count = 0
 
     def end_line(self) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.lines.append((text, self.tags, tuple(n for t, n, _ in self.open if t in REGIONS)))
+            if any(not data.isspace() for data, _ in self.parts):
+                self.raw.append((self.parts, self.tags, tuple(n for t, n, _, _ in self.open if t in REGIONS)))
             self.parts = []
         self.tags = 0
 
@@ -48,6 +51,7 @@ class _Reader(HTMLParser):
             if self.open[i][0] == tag:
                 if tag in BLOCKS:
                     self.end_line()
+                self.within -= sum(t in ("article", "main") for t, *_ in self.open[i:])
                 del self.open[i:]
                 return
             if self.open[i][0] in stop:
@@ -60,19 +64,83 @@ class _Reader(HTMLParser):
             if tag in ("li", "dt", "dd", "tr", "td", "th"):
                 self.close_to(tag, frozenset(("ul", "ol", "dl", "table")))
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", ()))
         self.tags += 1
         if tag in VOID:
             return
         self.count += 1
         skipped = tag in SKIPPED or (bool(self.open) and self.open[-1][2])
-        if not skipped and attrs and tag not in ("html", "body", "article", "main"):
-            for name, value in attrs:
-                if value and (name in ("class", "id", "role") and not MARKS.isdisjoint(value.lower().replace("-", " ").replace("_", " ").split())):
-                    skipped = True
-                elif name == "hidden":
-                    skipped = True
-        self.open.append((tag, self.count, skipped))
+        marks = self.open[-1][3] if self.open else ()
+        if not skipped and tag not in ("html", "body"):
+            hint, whole = self.named(tag, attrs)
+            if tag in ("article", "main"):
+                if not hint:
+                    self.articles.append(marks)
+            else:
+                skipped = any(name == "hidden" for name, _ in attrs)
+                if hint:
+                    self.sure[self.count] = whole
+                    marks = (*marks, self.count)
+        self.within += tag in ("article", "main")
+        self.open.append((tag, self.count, skipped, marks))
+
+    def named(self, tag, attrs) -> tuple[bool, bool]:
+        """Whether a name holds a mark, and whether one consists of marks alone. Ids of headings and sections are often slugs of their titles."""
+        hint = whole = False
+        for name, value in attrs:
+            if not value or name not in ("class", "id", "role"):
+                continue
+            slug = name == "id" and (tag in HEADINGS or tag == "section" or self.within > 0 and tag == "div")
+            if slug and (tag in HEADINGS or self.within):
+                continue
+            for token in value.lower().split():
+                words = token.replace("-", " ").replace("_", " ").split()
+                if not MARKS.isdisjoint(words):
+                    hint = True
+                    whole = whole or (not slug and MARKS.issuperset(words))
+        return hint, whole
+
+    def dropped(self) -> set[int]:
+        """The marked elements that are no part of the article.
+
+        One that holds an article or main stays, and one with half of the page's text unless an article stands outside it.
+        Of the others go those whose name consists of marks alone (cookie-notice); those whose name holds other words too
+        (has-sidebar, related-work) only if they have less than half the characters a tag of the page's content.
+        """
+        if not self.sure:
+            return set()
+        chars: dict[int, int] = {}
+        tags: dict[int, int] = {}
+        total, ratios = 0, []
+        for parts, n_tags, _ in self.raw:
+            sizes: dict[tuple[int, ...], int] = {}
+            for data, marks in parts:
+                sizes[marks] = sizes.get(marks, 0) + sum(map(len, data.split()))
+            for marks, n in sizes.items():
+                total += n
+                for m in marks:
+                    chars[m] = chars.get(m, 0) + n
+                    tags[m] = tags.get(m, 0) + max(1, n_tags)
+            if not any(self.sure[m] for marks in sizes for m in marks):
+                ratios.append(sum(sizes.values()) / max(1, n_tags))
+        t = clustered(smoothed(ratios)) if ratios else 0.0
+        out = set()
+        for m, whole in self.sure.items():
+            n = chars.get(m, 0)
+            if any(m in marks for marks in self.articles) or 2 * n >= total and not self.articles:
+                continue
+            if whole or 2 * n < t * tags.get(m, 1):
+                out.add(m)
+        return out
+
+    def lines(self) -> list[tuple[str, int, tuple[int, ...]]]:
+        """(text, tags, path of open containers) of the lines without what is dropped."""
+        gone, out = self.dropped(), []
+        for parts, tags, path in self.raw:
+            text = " ".join("".join(data for data, marks in parts if gone.isdisjoint(marks)).split())
+            if text:
+                out.append((text, tags, path))
+        return out
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -83,13 +151,13 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         self.tags += 1
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", ()))
         elif tag not in VOID:
             self.close_to(tag)
 
     def handle_data(self, data):
         if not (self.open and self.open[-1][2]):
-            self.parts.append(data)
+            self.parts.append((data, self.open[-1][3] if self.open else ()))
 
 
 def smoothed(values: list[float], radius: int = 2) -> list[float]:
@@ -123,7 +191,7 @@ def main_text(html: str | None, hold: float = 0.75) -> str:
     """The article's text of a page, its blocks in page order joined by newlines; empty if there is none.
 
     Lines are runs of text between block elements; menus, headers, notices and the like are left out by element or by
-    name. Each line's ratio of characters to tags is smoothed, and the lines above the clusters' threshold are content.
+    name, names being hints that the page's shape must bear out. Each line's ratio of characters to tags is smoothed, and the lines above the clusters' threshold are content.
     The content region is the innermost element that holds at least `hold` of the content lines' characters; its lines
     are all kept, so that a short paragraph beside long ones stays.
     """
@@ -133,7 +201,7 @@ def main_text(html: str | None, hold: float = 0.75) -> str:
     reader.feed(_CUT_TAG.sub("", html))
     reader.close()
     reader.end_line()
-    lines = reader.lines
+    lines = reader.lines()
     if not lines:
         return ""
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])

@@ -82,6 +82,27 @@ def test_main_text():
     ])
 
 
+LONG = "A paragraph of the article that is long enough to be content as well as any other."
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><div class="layout has-sidebar"><article><p>{LONG}</p><p>{LONG}</p></article></div></body>',
+    f'<body><div class="post comment-open"><p>{LONG}</p><p>{LONG}</p></div></body>',
+    f'<body><div id="page" class="with-nav"><nav>Home</nav><main><p>{LONG}</p><p>{LONG}</p></main></div></body>',
+    f'<body><div class="banner"><article><p>{LONG}</p><p>{LONG}</p></article></div></body>',
+    f'<article><section id="search-methods"><p>{LONG}</p></section><div id="social-history"><p>{LONG}</p></div></article>',
+    f'<div><div class="widget">Buy now</div><div class="nav-links"><a>One</a><a>Two</a></div><p>{LONG}</p><p>{LONG}</p></div>',
+    f'<article><p>{LONG} <span class="ad">Buy now</span></p><p>{LONG}</p></article><div class="comments"><p>{LONG * 9}</p></div>',
+])
+def test_marks_are_hints(page):
+    assert html_text.main_text(page) == f"{LONG}\n{LONG}"
+
+
+def test_ids_of_headings():
+    page = f'<article><h2 id="related-work">Related work</h2><p>{LONG}</p><h3 id="search">Search</h3><p>{LONG}</p></article>'
+    assert html_text.main_text(page) == f"Related work\n{LONG}\nSearch\n{LONG}"
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<script>", "<nav>a</nav>", "<!-- x"])
 def test_no_text(html):
     assert html_text.main_text(html) in ("", "<", "<p")

@@ -36,6 +36,7 @@ class _Reader(HTMLParser):
         self.parts: list[tuple[str, tuple[int, ...]]] = []
         self.sure: dict[int, bool] = {}  # marked element: whether its name consists of marks alone
         self.articles: list[tuple[int, ...]] = []  # the marked elements around each article or main without marks
+        self.whole: set[int] = set()  # article and main elements
         self.within = 0  # open article and main elements
         self.tags = self.count = 0
 
@@ -81,7 +82,9 @@ class _Reader(HTMLParser):
                 if hint:
                     self.sure[self.count] = whole
                     marks = (*marks, self.count)
-        self.within += tag in ("article", "main")
+        if tag in ("article", "main"):
+            self.whole.add(self.count)
+            self.within += 1
         self.open.append((tag, self.count, skipped, marks))
 
     def named(self, tag, attrs) -> tuple[bool, bool]:
@@ -192,8 +195,9 @@ def main_text(html: str | None, hold: float = 0.75) -> str:
 
     Lines are runs of text between block elements; menus, headers, notices and the like are left out by element or by
     name, names being hints that the page's shape must bear out. Each line's ratio of characters to tags is smoothed, and the lines above the clusters' threshold are content.
-    The content region is the innermost element that holds at least `hold` of the content lines' characters; its lines
-    are all kept, so that a short paragraph beside long ones stays.
+    The innermost element that holds at least `hold` of the content lines' characters marks the place. The region is the
+    article or main around it, or else the least element around it that holds all content lines; its lines are all kept,
+    so that a short paragraph, a headline or a further section beside long ones stays.
     """
     if not html:
         return ""
@@ -207,16 +211,19 @@ def main_text(html: str | None, hold: float = 0.75) -> str:
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
     t = clustered(ratios)
     mass: dict[int, int] = {}
-    depth: dict[int, int] = {}
+    paths: dict[int, tuple[int, ...]] = {}
     total = 0
     for (text, _, path), r in zip(lines, ratios):
         if r >= t:
             total += len(text)
             for d, n in enumerate(path):
                 mass[n] = mass.get(n, 0) + len(text)
-                depth[n] = d
+                paths[n] = path[: d + 1]
     held = [n for n, m in mass.items() if m >= hold * total]
-    region = max(held, key=depth.__getitem__) if held else None
+    around = max((paths[n] for n in held), key=len, default=())[::-1]
+    region = next((n for n in around if n in reader.whole), None)
+    if region is None:
+        region = next((n for n in around if mass[n] == total), None)
     return "\n".join(text for text, _, path in lines if region is None or region in path)
 
 

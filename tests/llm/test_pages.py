@@ -103,6 +103,20 @@ def test_ids_of_headings():
     assert html_text.main_text(page) == f"Related work\n{LONG}\nSearch\n{LONG}"
 
 
+@pytest.mark.parametrize("page", [
+    f'<div>Menu</div><article><h1>A title</h1><div class="body"><p>{LONG * 4}</p></div><section><p>{LONG}</p></section></article><div>Foot</div>',
+    f'<div>Menu</div><main><h1>A title</h1><blockquote><p>{LONG * 4}</p></blockquote><p>{LONG}</p></main><div>Foot</div>',
+    f'<div>Menu</div><div><h1>A title</h1><div><p>{LONG * 4}</p></div><div><p>{LONG}</p></div></div><div>Foot</div>',
+])
+def test_region_is_whole(page):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == f"A title\n{LONG * 4}\n{LONG}"
+
+
+def test_sections_with_ids():
+    page = f'<article><h2 id="related-work">Related work</h2><p>{LONG}</p><section id="discussion"><h3 id="search">Search</h3><p>{LONG}</p></section></article>'
+    assert html_text.main_text(page) == f"Related work\n{LONG}\nSearch\n{LONG}"
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<script>", "<nav>a</nav>", "<!-- x"])
 def test_no_text(html):
     assert html_text.main_text(html) in ("", "<", "<p")

@@ -160,8 +160,11 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -> Model
     """Fit on at most per_class labelled documents of each class, those with the least hash of their id.
 
     Only labels of 0 or 1 outside the held-out fold count, and only ids whose labels agree. The chosen ids, at most
-    2 * per_class, are broadcast; the driver gets their features.
+    2 * per_class, are broadcast; the driver gets their features. As a class beyond per_class is thinned, the offset is
+    moved by the log of the shares taken, so that scores follow the classes' frequency among all these labels.
     """
+    import math
+
     agreed = labels.where(F.col("quality").isin(0, 1) & (fold_of(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other")).where("label = other")
     chosen = None
     for y in (0, 1):
@@ -180,7 +183,11 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -> Model
 
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int"))
     got = sorted((r["doc_id"], bytes(r["features"]), r["label"]) for r in picked.mapInArrow(run, "doc_id long, features binary, label int").collect())
-    return fit([np.frombuffer(f, np.int32) for _, f, _ in got], [y for _, _, y in got])
+    model = fit([np.frombuffer(f, np.int32) for _, f, _ in got], [y for _, _, y in got])
+    if len({y for _, _, y in got}) == 2:
+        taken = {r["label"]: r["count"] / min(r["count"], per_class) for r in agreed.groupBy("label").count().collect()}
+        model.offset += math.log(taken[1] / taken[0])
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, threshold: float = 0.3) -> DataFrame:

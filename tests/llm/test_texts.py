@@ -98,6 +98,17 @@ def test_classifier(spark, docs):
     assert {r.score for r in quality_classifier.classify(docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_scores_do_not_depend_on_the_sample(spark):
+    """Texts that tell nothing score the share of their class, whatever part of it is taken."""
+    rows = [(i, f"some words {i % 5} of a text", int(i % 7 != 0)) for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "quality")
+    for per_class in (2000, 300, 100):
+        model = quality_classifier.train(docs, labels, per_class=per_class)
+        scores = [model.score(quality_classifier.Features().of(f"some words {k} of a text".encode())) for k in range(5)]
+        assert sum(scores) / 5 == pytest.approx(6 / 7, abs=0.06)
+
+
 def test_descent_on_separable():
     import numpy as np
 

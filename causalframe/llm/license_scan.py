@@ -74,6 +74,7 @@ class TemplateIndex:
 
     def __init__(self, templates, frequency: dict[bytes, int], least: float):
         self.templates, self.at = [], {}
+        self.wording = [list(dict.fromkeys(text.encode().translate(_TABLE).split())) for _, text in templates]
         for no, (label, tokens) in enumerate(_sets(templates)):
             ordered = sorted(tokens, key=lambda t: (frequency.get(t, 0), t))
             need = math.ceil(least * len(tokens) - 1e-9)
@@ -99,7 +100,7 @@ class TemplateIndex:
         return out
 
 
-#: Templates of so many distinct tokens may run over several lines; shorter notices stand in one.
+#: Templates of so many distinct tokens are held against runs of lines as sets; shorter ones against lines, and in order against the runs.
 WRAPPED = 16
 
 
@@ -119,12 +120,71 @@ def blocks(text: bytes) -> list[tuple[set[bytes], bool]]:
     return out
 
 
+def runs(text: bytes) -> list[tuple[list[bytes], list[int]]]:
+    """(words, the line of each) of every run of several lines between empty ones."""
+    out, words, at, lines = [], [], [], 0
+    for line in [*text.split(b"\n"), b""]:
+        found = line.split()
+        if found:
+            words += found
+            at += [lines] * len(found)
+            lines += 1
+        else:
+            if lines > 1:
+                out.append((words, at))
+            words, at, lines = [], [], 0
+    return out
+
+
+def in_order(words: list[bytes], wording: list[bytes], need: int) -> list[tuple[int, int, int]]:
+    """(first, last, common): places of at most 5/4 of the wording's length that hold `need` of its words in their order."""
+    out, wanted, most = [], frozenset(wording), len(wording) + len(wording) // 4
+    for first, word in enumerate(words):
+        if word not in wanted:
+            continue
+        common = [0] * (len(wording) + 1)  # longest common subsequence with each of the wording's beginnings
+        best = need - 1
+        for last in range(first, min(first + most, len(words))):
+            if words[last] not in wanted:
+                continue
+            diagonal = 0
+            for i, w in enumerate(wording, 1):
+                before = common[i]
+                common[i] = diagonal + 1 if words[last] == w else max(before, common[i - 1])
+                diagonal = before
+            if common[-1] > best:
+                best = common[-1]
+                out.append((first, last, best))
+    return out
+
+
+def wrapped(index: TemplateIndex, text: bytes) -> dict[int, tuple[float, bool]]:
+    """Template number -> (containment, whether it stands without a larger template around it), of short notices that run over a line's end."""
+    out: dict[int, tuple[float, bool]] = {}
+    for words, line in runs(text):
+        places = {}
+        for no in index.matches(set(words)):
+            _, tokens, _, need = index.templates[no]
+            if len(tokens) < WRAPPED:
+                places[no] = in_order(words, index.wording[no], need)
+        for no, found in places.items():
+            _, tokens, _, _ = index.templates[no]
+            larger = [p for other, more in places.items() if tokens < index.templates[other][1] for p in more]
+            for first, last, common in found:
+                if line[first] != line[last]:
+                    alone = not any(a <= last and first <= b for a, b, _ in larger)
+                    share, was = out.get(no, (0.0, False))
+                    out[no] = (max(share, common / len(tokens)), was or alone)
+    return out
+
+
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES, least: float = 0.9) -> DataFrame:
     """A row for each document: id column, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     n_base counts all places where a phrase stands, first_word and last_word are the least and the largest of their
     starts in words from 0 (null if none); spans lists (label, word). A block is a line or, for templates of WRAPPED
-    distinct tokens or more, a run of lines between empty ones. labels adds those of all templates of which a block holds `least` of the distinct tokens, without templates that are part of another that the same
+    distinct tokens or more, a run of lines between empty ones; for shorter templates also a place of at most 5/4 of the
+    template's length that runs over a line's end, in which the tokens stand in their order. labels adds those of all templates of which a block holds `least` of the distinct tokens, without templates that are part of another that the same
     block matches. Labels are distinct, sorted, comma-joined. score is 1 for a phrase, else the largest containment
     that meets the threshold, else 0. One pass counts tokens (a few hundred rows reach the driver), one scans;
     whole texts are read and nothing else is shuffled.
@@ -161,6 +221,10 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                     if not any(tokens < index.templates[other][1] for other in found):
                         labels.add(label)
                     score = max(score, share)
+            for no, (share, alone) in wrapped(index, flat).items():
+                if alone:
+                    labels.add(index.templates[no][0])
+                score = max(score, share)
         places.sort()
         starts = [p for p, _ in places]
         return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(sorted(labels)), score, [{"label": b, "word": a} for a, b in places]

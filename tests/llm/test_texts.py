@@ -86,6 +86,22 @@ def test_licenses(spark, edge):
     assert license_scan.scan_licenses(df.where("false")).count() == 0
 
 
+WRAPPED_NOTICES = [
+    ("Licensed under CC\nBY-NC 4.0", "cc-by-nc"), ("Text.\nLicensed\nunder CC BY-NC-SA\n4.0\nmore", "cc-by-nc-sa"), ("Licensed under the CC\nBY 4.0", "cc-by"),
+    ("This is free and unencumbered software released\ninto the public domain", "unlicense"),
+    ("Copyright 2024. All rights\nreserved. No part may be\nreproduced without permission.", "all-rights-reserved"),
+    ("Licensed under CC\n\nBY-NC 4.0", ""), ("under licensed\nby cc 0 4", ""), ("Licensed under some long other words that go on and\non until CC BY at 4 or 0", ""),
+    ("Licensed under CC BY-ND 4.0\nLicensed under CC BY-NC 4.0", "cc-by-nc,cc-by-nd"), ("Licensed under CC BY-NC 4.0\nLicensed under CC BY-ND 4.0", "cc-by-nc,cc-by-nd"),
+]
+
+
+def test_wrapped_notices(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WRAPPED_NOTICES)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    assert [rows[i].labels for i in range(len(rows))] == [labels for _, labels in WRAPPED_NOTICES]
+    assert all((rows[i].score >= 0.9) == bool(labels) for i, (_, labels) in enumerate(WRAPPED_NOTICES))
+
+
 def test_classifier(spark, docs):
     df, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = quality_classifier.classify(df, labels, per_class=500).join(labels, "doc_id").where("held_out").collect()

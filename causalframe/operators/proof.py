@@ -6,6 +6,7 @@ Edges are by path, not by content hash, so that a full recomputation and an incr
 from __future__ import annotations
 
 import functools
+import itertools
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -52,18 +53,21 @@ def recompute(results: DataFrame, vector: DataFrame, edges: DataFrame, frontier_
     return results.join(dirty, "parent", "left_anti").select("parent", "n_fields", "record").union(again)
 
 
-def dirty_closure(edges: DataFrame, changed: DataFrame, most_levels: int = 64) -> DataFrame:
+def dirty_closure(edges: DataFrame, changed: DataFrame, most_levels: int | None = None) -> DataFrame:
     """All ancestors of the changed nodes: (node, level), level being the least number of edges.
 
     A breadth-first search by levels: each joins the newly reached nodes alone; the depth of the graph bounds the rounds.
+    With `most_levels` a graph that goes further up raises.
     """
     reached = written(changed.select("node").distinct(), "closure")
     seen, found = reached, []
-    for level in range(1, most_levels + 1):
+    for level in itertools.count(1):
         above = reached.join(edges, reached["node"] == edges["child"]).select(F.col("parent").alias("node")).distinct()
         reached = written(above.join(seen, "node", "left_anti"), "closure")
         if reached.isEmpty():
             break
+        if most_levels is not None and level > most_levels:
+            raise ValueError(f"ancestors beyond {most_levels} levels")
         seen = seen.union(reached)
         found.append(reached.withColumn("level", F.lit(level)))
     return functools.reduce(DataFrame.union, found) if found else reached.withColumn("level", F.lit(0))

@@ -175,6 +175,15 @@ def test_closure(spark):
     assert rows(R.dirty_closure(edges, changed.where("false"))) == []
 
 
+def test_closure_of_a_deep_chain(spark):
+    edges = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(66)], "parent string, child string")
+    changed = spark.createDataFrame([("n0",)], "node string")
+    assert sorted(rows(R.dirty_closure(edges, changed), "level")) == [(i,) for i in range(1, 67)]
+    with pytest.raises(ValueError):
+        R.dirty_closure(edges, changed, most_levels=2)
+    assert len(rows(R.dirty_closure(edges.where("child in ('n0', 'n1')"), changed, most_levels=2))) == 2
+
+
 def test_merkle(spark):
     import hashlib
 

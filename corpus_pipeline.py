@@ -26,13 +26,15 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more (operator 9).
 
-    The one with the least id stays. Of rows with the same id and text one stays; rows without id stay, save repeated texts.
+    A row is told by a hash of its id and text, as an id may stand on several texts. Of each group stays the row with the
+    least id (then hash; those without id last), once if it is repeated; rows without words are groups of their own.
     """
     ship(spark)
-    joined = link_documents(docs, width=5, percent=80)
-    gone = joined.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_hash", F.xxhash64("text"))
-    return left.dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.xxhash64("text")))
+    joined = link_documents(rows.select("_row", "text"), id_col="_row", width=5, percent=80)
+    groups = rows.select("_row", "doc_id").join(joined.select("_row", "component_id").distinct(), "_row")
+    kept = groups.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
+    return rows.join(kept.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

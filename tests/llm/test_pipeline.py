@@ -44,3 +44,18 @@ def test_edges(spark, docs, k):
     if k < 3:
         assert out.columns == rows.columns
     assert corpus_pipeline.STAGES[k][1](spark, rows.where("false"), SF).count() == 0
+
+
+def test_one_of_each_by_rows(spark):
+    """Ids that stand on several texts, near copies that share an id, and rows without id."""
+    one, two, three, four = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [
+        (1, one), (5, one + " more"), (5, two),  # 5 is linked by one row and unique by the other
+        (7, three), (7, three + " more"), (7, three),  # near copies and a repeated row of one id
+        (None, two + " more"), (None, four), (None, four + " more"),
+        (8, None), (8, ""), (8, ""), (None, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each(spark, df, SF).collect()]
+    first = [(i, t.removesuffix(" more") if t else t) for i, t in got]
+    assert sorted(first, key=str) == sorted([(1, one), (5, two), (7, three), (None, four), (8, None), (8, ""), (None, "")], key=str)

@@ -7,14 +7,36 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_roots: dict[tuple[str, str], str] = {}
+
+
+def _fs(spark: SparkSession, path: str):
+    """Hadoop's path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of our own for a local master, and an error for a cluster."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="causalframe-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, spark.checkpoint.dir; one of our own only where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="causalframe-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below one folder of the application that its end removes."""
+    shared = shared_dir(spark)
+    at = (spark.sparkContext.applicationId, shared)
+    if at not in _roots:
+        _roots[at] = f"{shared}/causalframe-{uuid.uuid4().hex}"
+        p, fs = _fs(spark, _roots[at])
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{_roots[at]}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -22,3 +44,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a path that scratch() gave, through Hadoop's file systems."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)

@@ -1,40 +1,12 @@
-"""Helpers shared by the corpus operators: the shared folder, written tables, connected components."""
+"""Helpers shared by the corpus operators: written tables, connected components, the package for the workers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from causalframe.storage import delete, scratch, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="causalframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet in the shared folder and read them again."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a path that scratch() gave, through Hadoop's file systems."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["Tables", "components", "delete", "scratch", "ship", "written"]
 
 
 class Tables:
@@ -51,13 +23,8 @@ class Tables:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables, and let Spark delete the shuffle files of what has been written."""
-        import gc
-
         for t in tables:
             delete(self.spark, self.paths.pop(id(t))[0])
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -119,6 +86,7 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers, once for each application, through the driver's file server."""
     import os
+    import tempfile
     import zipfile
 
     import causalframe

@@ -8,15 +8,18 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from causalframe.llm.common import Tables, components
+from causalframe.llm.shingles import Shingler, class_key, need_alone, shared_shingles
 
-#: Shingle frequencies are counted in this many hash buckets; they only order shingles, so that collisions cost time, not links.
-BUCKETS = 1 << 18
 #: Which representatives' sets are read again is told to the tasks as a bit for each hash bucket of ids.
 ID_BUCKETS = 1 << 20
 #: Rounds in which classes are paired with list heads before the lists are scanned.
 STAR_TURNS = 2
 #: Looking at one pair costs about as much as writing this many rows.
 PAIR_COST = 32
+#: Sets of up to so many members may be light.
+SMALL = 40
+#: A set is sent about once for so many classes that it is compared with.
+HEAD_PAIRS = 500
 
 
 def need(a, b, percent: int):
@@ -24,44 +27,6 @@ def need(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-class Shingler:
-    """Sets of hashed shingles of whole texts. A-Z is lower-cased; words end at ASCII white space."""
-
-    def __init__(self, width: int, most: int = 400_000):
-        self.width, self.most, self.known = width, most, {}
-
-    def of(self, text: bytes | None):
-        """Sorted distinct 64-bit hashes of the text's shingles; of the whole sequence if it has fewer words."""
-        import numpy as np
-        from xxhash import xxh3_64_intdigest
-
-        words = (text or b"").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxh3_64_intdigest(w)
-        ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        width = min(self.width, len(ids))
-        h = np.full(len(ids) - width + 1, width, np.uint64)
-        for k in range(width):
-            h = (h ^ ids[k : len(ids) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        return np.unique(h)
-
-
-def class_key(members) -> int:
-    """A signed 64-bit hash that stands for a set."""
-    from xxhash import xxh3_64_intdigest
-
-    h = xxh3_64_intdigest(members.tobytes())
-    return h - (1 << 64) if h >> 63 else h
-
-
 def bitmap(members) -> list[int]:
     """256 parities of members by hash, as four signed 64-bit numbers. Two sets differ in at least as many members as bits."""
     import numpy as np
@@ -70,16 +35,15 @@ def bitmap(members) -> list[int]:
     return np.packbits(odd).view(">i8").tolist()
 
 
-def light_sizes(percent: int, repeated: float, top: int = 40) -> int:
+def light_sizes(percent: int, met: float, top: int = SMALL) -> int:
     """The largest size up to which enumerating subsets costs less than scanning inverted lists; 0 if none does.
 
     A set of s members writes C(s, c) subsets for each overlap c that a partner of light size needs; or its prefix, whose
-    lists it scans, which costs PAIR_COST for each other set that is expected there (`repeated`, the share of shingle
-    occurrences that are not a shingle's first).
+    lists it scans, which costs PAIR_COST for each other set that stands there (`met`, their mean number).
     """
     found = 0
     for s in range(1, top + 1):
-        lists = (s - need_alone(s, percent) + 1) * (1 + PAIR_COST * repeated)
+        lists = (s - need_alone(s, percent) + 1) * (1 + PAIR_COST * met)
         if sum(math.comb(s, c) for c in overlaps(s, s, percent)) <= lists:
             found = s
         elif overlaps(s, s, percent):
@@ -87,11 +51,6 @@ def light_sizes(percent: int, repeated: float, top: int = 40) -> int:
     return found
 
 
-def need_alone(size: int, percent: int) -> int:
-    """Least number of common members with a partner of any size."""
-    return -(-percent * size // 100)
-
-
 def overlaps(size: int, top: int, percent: int) -> list[int]:
     """The overlaps that partners of at most `top` members need of a set of `size`; sets with all members in common are one class."""
     out = set()
@@ -108,210 +67,179 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Two documents link when percent * (size of the union) <= 100 * (size of the intersection) of their sets of distinct
     `width`-word shingles; component_id is the least id that is reachable by links. The join is exact:
 
-    1. Documents with equal sets are one class. A pass gives each document's class and counts shingles by hash bucket.
-    2. Light classes (of up to light_sizes members) write subsets of fixed sizes. Sets that share a subset as large as
-       their sizes need link, and whoever links within such a group also links with its smallest set, so each set is
-       paired with that one alone.
-    3. Heavy classes, and light ones whose partner may be heavy, write their rarest shingles to inverted lists: linked
-       sets share one of them, in lists of sets of like sizes. In STAR_TURNS rounds each class is paired with the list
-       heads, by random order, that it meets most; the verified ones give components. Then the lists are scanned for
-       pairs of different components that pass the length, positional and bitmap bounds. The rounds take the squares
-       out of groups of near copies; the scan loses no link.
-    4. Pairs are verified on whole sets; components follow from the links.
-
-    A document without words has n_shingles 0, links with nothing and has its own id as component. Null ids take part:
-    they lie in components, whose least id is that of the others; a component without any id has null. Repeated rows
-    are kept. Other columns are ignored.
+    1. Documents with equal sets (told by 128-bit hashes) are one class. shared_shingles counts in how many sets each
+       shingle stands; only classes with enough shared ones can link, and only these go on, with their rarest shared
+       shingles.
+    2. Light classes (of up to light_sizes members, by the measured length of lists) write subsets of fixed sizes of
+       their shared shingles. Sets that share a subset as large as their sizes need link, and whoever links within such a
+       group also links with its smallest set, so each set is paired with that one alone.
+    3. Heavy classes, and light ones whose partner may be heavy, write their rarest shared shingles to inverted lists:
+       linked sets share one of them, in lists of sets of like sizes. In STAR_TURNS rounds each class is paired with the
+       list heads, by random order, that it meets most; the verified ones give components. Then the lists are scanned for
+       pairs of different components that pass the length, positional and bitmap bounds: what lies outside a list's most
+       frequent component, with all of the list. The rounds take the squares out of groups of near copies; the scan
+       loses no link.
+    4. Pairs are verified on whole sets; components follow from the links. A set that many are compared with is sent
+       about once for HEAD_PAIRS of them, so that no task gets all its pairs.
+
+    The rows must come from files or from another source that gives the same rows again (shared_shingles).
+
+    A document without words (null or empty text, white space) has n_shingles 0, links with nothing and has its own id as
+    component. Null ids take part: they lie in components, whose least id is that of the others; a component without any id
+    has null. Repeated rows, and rows that share an id, are kept and judged each by its text. Texts of any length are
+    taken whole. Other columns are ignored, whatever their names. An empty table gives an empty one.
     """
+    import numpy as np
+
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def first_pass(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        shingler, counts, seen = Shingler(width), np.zeros(BUCKETS, np.int64), set()
-        names = ["id", "n", "key", "bits", "bucket"]
-        longs = pa.list_(pa.int64())
-        key_type = None
-        for batch in batches:
-            key_type = batch.schema.field(0).type
-            n, keys, bits = [], [], []
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
-                members = shingler.of(t)
-                key = class_key(members)
-                n.append(len(members))
-                keys.append(key)
-                bits.append(bitmap(members))
-                if key not in seen:
-                    if len(seen) < 300_000:
-                        seen.add(key)
-                    np.add.at(counts, (members & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, longs), pa.nulls(len(n), pa.int32())], names)
-        full = np.flatnonzero(counts)
-        for i in range(0, len(full), 50_000):
-            part = full[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), key_type), pa.array(counts[part]), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), longs), pa.array(part.astype(np.int32))], names)
-
     tables = Tables(spark)
-    first = tables.keep(rows.mapInArrow(first_pass, f"id {id_type}, n long, key long, bits array<bigint>, bucket int"))
-    members = first.where("bucket is null").select("id", "n", "key", "bits")
-    classes = members.where("n > 0").groupBy("key").agg(F.min("id").alias("least_id"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
-
-    import numpy as np
-
-    counts = np.zeros(BUCKETS, np.int64)
-    got = first.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    total = int(counts.sum())
-    repeated = 0.0 if not total else max(0.0, 1 - BUCKETS * float(np.median(counts)) / total) if total > 8 * BUCKETS else 1 - float((counts > 0).sum()) / total
-    top = light_sizes(percent, repeated)
+    known = tables.keep(shared_shingles(rows, width=width, percent=percent, small=SMALL))
+    least_ids = tables.keep(known.where("n > 0").groupBy("class").agg(F.min("id").alias("least_id")))
+    linkable = known.where("shingles is not null").groupBy("class").agg(F.first(F.struct("n", "unshared", "shingles", F.col("id").alias("some_id"))).alias("c"))
+    classes = tables.keep(linkable.join(least_ids, "class").select(F.monotonically_increasing_id().alias("num"), "class", "least_id", "c.*"))
+    prefix = F.expr(f"slice(shingles, 1, n - unshared - (({percent} * n + 99) div 100) + 1)")
+
+    lengths = classes.where(F.col("n") <= SMALL).select(F.explode(prefix).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    squares, entries = lengths.agg(F.sum(F.col("c") * F.col("c")), F.sum("c")).first()
+    top = light_sizes(percent, squares / entries - 1 if entries else 0.0)
     subset_sizes = {s: overlaps(s, top, percent) for s in range(1, top + 1)}
-    order = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
-    def second_pass(batches):
+    def subsets(batches):
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
 
-        shingler, seen, rank = Shingler(width), set(), order.value
-        out, held = [], 0
-
-        def flush():
-            token = np.concatenate([x[0] for x in out]).view(np.int64)
-            lengths = [len(x[0]) for x in out]
-            key = pa.array(np.repeat(np.array([x[1] for x in out], np.int64), lengths))
-            n = np.repeat(np.array([x[2] for x in out], np.int32), lengths)
-            return pa.RecordBatch.from_arrays([pa.array(token), key, pa.array(n), pa.array(np.concatenate([x[3] for x in out]))], ["token", "key", "n", "pos"])
+        def listed(out):
+            token, kind, num, n = zip(*out)
+            columns = [pa.array(np.array(token, np.uint64).view(np.int64)), pa.array(kind, pa.int32()), pa.array(num, pa.int64()), pa.array(n, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, ["token", "kind", "num", "n"])
 
         for batch in batches:
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
-                found = shingler.of(t)
-                n = len(found)
-                key = class_key(found)
-                if not n or key in seen:
-                    continue
-                if len(seen) < 300_000:
-                    seen.add(key)
+            out = []
+            for num, n, shingles in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 for c in subset_sizes.get(n, ()):
-                    subsets = np.array([xxh3_64_intdigest(np.array(s, np.uint64).tobytes(), c) for s in itertools.combinations(found.tolist(), c)], np.uint64)
-                    out.append((subsets, key, n, np.full(len(subsets), -c, np.int32)))
-                    held += len(subsets)
-                if n > top or 100 * n >= percent * (top + 1):
-                    length = n - need_alone(n, percent) + 1
-                    by = np.lexsort((found, rank[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:length]
-                    out.append((found[by], key, n, np.arange(length, dtype=np.int32)))
-                    held += length
-                if held > 100_000:
-                    yield flush()
-                    out, held = [], 0
-        if out:
-            yield flush()
-
-    lists = tables.keep(rows.mapInArrow(second_pass, "token long, key long, n int, pos int"))
-    kind = F.when(F.col("pos") < 0, F.col("pos")).otherwise(F.lit(0)).alias("kind")
-    heads = lists.groupBy("token", kind).agg(F.min(F.struct("n", "key")).alias("head"), F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
-    shared = tables.keep(lists.withColumn("kind", kind).join(heads.select("token", "kind", "head"), ["token", "kind"]).distinct())
-    tables.drop(lists)
-    starred = shared.where((F.col("kind") < 0) & (F.col("key") != F.col("head.key")) & ((100 + percent) * -F.col("kind") >= percent * (F.col("n") + F.col("head.n"))))
-    light = tables.keep(starred.select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b")).distinct())
+                    for some in itertools.combinations(sorted(shingles), c):
+                        out.append((xxh3_64_intdigest(np.array(some, np.int64).tobytes(), c), -c, num, n))
+                        if len(out) >= 100_000:
+                            yield listed(out)
+                            out = []
+            if out:
+                yield listed(out)
+
+    light = tables.keep(classes.where(F.col("n") <= top).select("num", "n", "shingles").mapInArrow(subsets, "token long, kind int, num long, n int"))
+    least = tables.keep(light.groupBy("token", "kind").agg(F.min(F.struct("n", "num")).alias("head"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    met = light.join(least, ["token", "kind"]).where((F.col("num") != F.col("head.num")) & ((100 + percent) * -F.col("kind") >= percent * (F.col("n") + F.col("head.n"))))
+    light_pairs = met.select("num", F.col("head.num").alias("head"))
+
+    heavy = classes.where((F.col("n") > top) | (100 * F.col("n") >= percent * (top + 1))).select("num", "n", "unshared", F.posexplode(prefix).alias("at", "token"))
     # sets that link lie in the same or in neighbouring classes of sizes, so they meet in a list of two neighbouring classes
     size_class = F.floor(F.log(F.col("n") + F.lit(0.0)) / math.log(100 / percent)).cast("int")
-    sized = shared.where("kind = 0").select("token", "key", "n", "pos", F.explode(F.array(size_class, size_class + 1)).alias("g"))
-    full = sized.groupBy("token", "g").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("token", "g")
+    sized = tables.keep(heavy.select("token", "num", "n", (F.col("unshared") + F.col("at")).alias("pos"), F.explode(F.array(size_class, size_class + 1)).alias("g")))
+    full = tables.keep(sized.groupBy("token", "g").agg(F.min("num").alias("low"), F.max("num").alias("high")).where("low <> high").select("token", "g"))
     placed = tables.keep(sized.join(full, ["token", "g"]))
-    tables.drop(shared)
+
+    # the sets of the classes that some list or pair holds, read again from one of their texts
+    some = placed.select("num").union(light_pairs.select("num")).union(light_pairs.select("head")).distinct()
+    wanted = tables.keep(classes.join(some, "num").select("num", "class", "some_id"))
+    at = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int")
+    bits = np.zeros(ID_BUCKETS, np.uint8)
+    bits[wanted.select(F.col("some_id").alias("id")).select(at.alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = 1
+    words = F.split(F.lit(",".join(map(str, np.packbits(bits, bitorder="little").view("<i8").tolist()))), ",").cast("array<bigint>")
+    asked = rows.where(F.getbit(F.get(words, F.shiftright(at, 6)), at.bitwiseAND(63)) == 1).select("text")
+
+    def sets(batches):
+        import pyarrow as pa
+
+        shingler = Shingler(width)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = [shingler.of(t) for t in batch.column(0).slice(lo, 200).cast(pa.binary()).to_pylist()]
+                columns = [pa.array([class_key(x) for x in part], pa.binary()), pa.array([x.tobytes() for x in part], pa.binary()), pa.array([bitmap(x) for x in part], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["class", "members", "bits"])
+
+    read = asked.mapInArrow(sets, "class binary, members binary, bits array<bigint>").join(wanted.select("class", "num"), "class")
+    store = tables.keep(read.groupBy("num").agg(F.first("members").alias("members"), F.first("bits").alias("bits")))
+    sizes = tables.keep(store.select("num", F.expr("cast(octet_length(members) / 8 as int)").alias("n"), "bits"))
+
+    def apart(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+    def least_common(n, m):
+        return -F.floor(-(percent * (F.col(n) + F.col(m))) / F.lit(100 + percent))
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that link, by whole sets."""
-        known = classes.select("key", "n", "bits", "least_id")
-        one, two = [known.select(F.col("key").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "bits", "least_id")]) for k in ("a", "b")]
-        both = pairs.join(one, "a").join(two, "b")
-        apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        least = -F.floor(-(percent * (F.col("n_a") + F.col("n_b"))) / F.lit(100 + percent))
-        may = tables.keep(both.where((percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & (F.col("n_a") + F.col("n_b") - 2 * least >= apart)).select("a", "b", "least_id_a", "least_id_b"))
-        at = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int")
-        wanted = may.select(F.col("least_id_a").alias("id")).union(may.select("least_id_b")).select(at.alias("at")).distinct()
-        bits = np.zeros(ID_BUCKETS, np.uint8)
-        bits[wanted.toPandas()["at"].to_numpy(np.int64)] = 1
-        words = F.split(F.lit(",".join(map(str, np.packbits(bits, bitorder="little").view("<i8").tolist()))), ",").cast("array<bigint>")
-        asked = rows.where(F.getbit(F.get(words, F.shiftright(at, 6)), at.bitwiseAND(63)) == 1).select("text")
-
-        def sets(batches):
-            import pyarrow as pa
-
-            shingler = Shingler(width)
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 200):
-                    part = [shingler.of(t) for t in batch.column(0).slice(lo, 200).cast(pa.binary()).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([class_key(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())], ["key", "members"])
-
-        store = tables.keep(asked.mapInArrow(sets, "key long, members binary"))
-
-        def compare(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    common = len(x) + len(y) - len(np.union1d(x, y))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
-                keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-        left, right = [store.select(F.col("key").alias(k), F.col("members").alias(m)) for k, m in (("a", "x"), ("b", "y"))]
-        met = may.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-        out = tables.keep(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
-        tables.drop(may, store)
+        """Of pairs (num, head) those that link, by whole sets; a head may stand in any number of pairs."""
+        one, two = [sizes.select(F.col("num").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "bits")]) for k in ("num", "head")]
+        both = pairs.distinct().join(one, "num").join(two, "head")
+        may = tables.keep(both.where(
+            (percent * F.greatest("n_num", "n_head") <= 100 * F.least("n_num", "n_head")) & (F.col("n_num") + F.col("n_head") - 2 * least_common("n_num", "n_head") >= apart("bits_num", "bits_head"))
+        ).select("num", "head"))
+        many = may.count()
+        salted = may.withColumn("salt", F.pmod(F.xxhash64("num"), F.lit(many // HEAD_PAIRS + 1)))
+        heads = tables.keep(salted.select("head", "salt").distinct().join(store.select(F.col("num").alias("head"), F.col("members").alias("y")), "head"))
+        whole = salted.join(store.select("num", F.col("members").alias("x")), "num").join(heads, ["head", "salt"])
+        out = tables.keep(whole.select("num", "head", "x", "y").mapInArrow(compare, "a long, b long"))
+        tables.drop(may, heads)
         return out
 
     def stars(lists: DataFrame, seeds) -> DataFrame:
         """For each class and seed the list head of another component that it meets most."""
         out = None
         for seed in seeds:
-            heads = lists.groupBy("token", "g").agg(F.min_by(F.struct("key", "n", "root"), F.xxhash64("key", F.lit(seed))).alias("head"))
+            heads = tables.keep(lists.groupBy("token", "g").agg(F.min_by(F.struct("num", "n", "root"), F.xxhash64("num", F.lit(seed))).alias("head")))
             met = lists.join(heads, ["token", "g"]).where((F.col("root") != F.col("head.root")) & (percent * F.greatest("n", "head.n") <= 100 * F.least("n", "head.n")))
-            most = met.groupBy("key", F.col("head.key").alias("other")).agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
+            most = met.groupBy("num", F.col("head.num").alias("head")).agg(F.count("*").alias("c")).groupBy("num").agg(F.max_by("head", F.struct("c", "head")).alias("head"))
             out = most if out is None else out.union(most)
-        return out.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+        return out
 
     def mixed(links: DataFrame | None) -> DataFrame:
         """The lists that hold more than one component, with each class's component."""
-        rooted = placed.withColumn("root", F.col("key"))
-        if links is not None:
-            rooted = placed.join(components(links, rounds=2).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-            several = rooted.groupBy("token", "g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "g")
-            rooted = rooted.join(several, ["token", "g"], "left_semi")
-        return tables.keep(rooted)
+        if links is None:
+            return tables.keep(placed.withColumn("root", F.col("num")))
+        roots = tables.keep(components(links, rounds=2).withColumnRenamed("node", "num"))
+        rooted = placed.join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
+        several = tables.keep(rooted.groupBy("token", "g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "g"))
+        return tables.keep(rooted.join(several, ["token", "g"]))
 
     links = None
     for turn in range(STAR_TURNS):
-        lists_now = mixed(links)
-        pairs = stars(lists_now, range(2 * turn, 2 * turn + 2))
-        new = verified(pairs.union(light).distinct() if turn == 0 else pairs)
+        lists = mixed(links)
+        pairs = stars(lists, range(2 * turn, 2 * turn + 2))
+        new = verified(pairs.union(light_pairs) if turn == 0 else pairs)
         links = new if links is None else links.union(new)
-        tables.drop(lists_now)
-    lists_now = mixed(links)
-    scanned = tables.keep(lists_now.drop("g").distinct().join(classes.select("key", "bits"), "key").select("token", "key", "n", "pos", "root", "bits"))
-    tables.drop(lists_now, placed)
-    x, y = scanned.alias("x"), scanned.alias("y")
-    least = -F.floor(-(percent * (F.col("x.n") + F.col("y.n"))) / F.lit(100 + percent))
-    apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    met = (
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root"))
+        tables.drop(lists)
+    lists = mixed(links)
+    counted = lists.groupBy("token", "g", "root").agg(F.count("*").alias("c"))
+    largest = tables.keep(counted.groupBy("token", "g").agg(F.max_by("root", F.struct("c", "root")).alias("largest")))
+    scanned = tables.keep(lists.join(largest, ["token", "g"]).join(sizes.select("num", "bits"), "num"))
+    x, y = scanned.where("root <> largest").drop("largest").alias("x"), scanned.alias("y")
+    bound = least_common("x.n", "y.n")
+    meet = (
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.root") != F.col("y.root"))
+        & ((F.col("y.root") == F.col("y.largest")) | (F.col("x.num") < F.col("y.num")))
         & (percent * F.greatest("x.n", "y.n") <= 100 * F.least("x.n", "y.n"))
-        & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= least)
-        & (F.col("x.n") + F.col("y.n") - 2 * least >= apart)
+        & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= bound)
+        & (F.col("x.n") + F.col("y.n") - 2 * bound >= apart("x.bits", "y.bits"))
     )
-    rest = x.join(y, met).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    links = links.union(verified(rest))
-    roots = components(links)
-    placed = classes.select("key", "least_id").join(roots.withColumnRenamed("node", "key"), "key")
-    least_ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = placed.join(least_ids, "root").select("key", "component_id")
-    found = classes.select("key", "least_id").join(linked, "key", "left").select("key", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = members.join(found, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    links = links.union(verified(x.join(y, meet).select(F.col("y.num").alias("num"), F.col("x.num").alias("head"))))
+    roots = tables.keep(components(links).withColumnRenamed("node", "num"))
+    linked = classes.select("num", "class", "least_id").join(roots, "num")
+    lowest = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    told = tables.keep(linked.join(lowest, "root").select("class", "component_id"))
+    answers = tables.keep(least_ids.join(told, "class", "left").select("class", F.coalesce("component_id", "least_id").alias("component_id")))
+    out = known.select("id", "n", "class").join(answers, "class", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

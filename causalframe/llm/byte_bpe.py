@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,8 +18,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-#: What a pair that is not in the merge table looks up; ranks are below it.
-_NONE = 1 << 40
+#: The rank of a pair that is not in the merge table; ranks are below it.
+_NONE = 1 << 17
 
 
 def merge_table(ranks: dict[bytes, int], bits: int = 17) -> list[int]:
@@ -51,6 +52,8 @@ def encode_words(word: Column, ranks: dict[bytes, int]) -> Column:
 
     A step merges the leftmost of the lowest-ranked pairs. A null word gives null, an empty one no ids.
     """
+    if max(ranks.values()) > 65535:
+        raise ValueError("ranks beyond 65535 do not fit the merge table")
     table = merge_table(ranks)
     slots = len(table) // 2
     table += [ranks[bytes([b])] for b in range(256)]
@@ -67,31 +70,32 @@ def _let(value: Column, body) -> Column:
 def _encode(word: Column, table: Column, slots: int) -> Column:
     def rank(left: Column, right: Column) -> Column:
         """Merged rank of a pair, or _NONE."""
-        return _let(left * 65536 + right, lambda key: _let(
-            F.get(table, ((key * 40503 + F.shiftright(key, 16) * 7919) % slots).cast("int")),
-            lambda one: F.when(F.shiftright(one, 16) == key, one.bitwiseAND(65535)).otherwise(_let(
-                F.get(table, (slots + (key * 30011 + F.shiftright(key, 16) * 104729) % slots).cast("int")),
-                lambda two: F.when(F.shiftright(two, 16) == key, two.bitwiseAND(65535)).otherwise(F.lit(_NONE)),
-            )),
-        ))
+        key = left * 65536 + right
+        one = F.get(table, ((key * 40503 + F.shiftright(key, 16) * 7919) % slots).cast("int"))
+        two = F.get(table, (slots + (key * 30011 + F.shiftright(key, 16) * 104729) % slots).cast("int"))
+        return F.when(F.shiftright(one, 16) == key, one.bitwiseAND(65535)).when(F.shiftright(two, 16) == key, two.bitwiseAND(65535)).otherwise(F.lit(_NONE))
+
+    def ranked(left: Column, right: Column) -> Column:
+        """An id with the rank of the pair that it begins: rank * 65536 + id."""
+        return F.when(right.isNull(), F.lit(_NONE)).otherwise(rank(left, right)) * 65536 + left
 
     def step(state: Column, _: Column) -> Column:
         def merged(least: Column, at: Column) -> Column:
-            ids, ranked = state["ids"], state["ranked"]
-            before = F.when(at > 1, F.array(rank(F.get(ids, at - 2), least))).otherwise(F.slice(ranked, 1, 0))
-            after = F.when(at < F.size(ranked), F.array(rank(least, F.get(ids, at + 1)))).otherwise(F.slice(ranked, 1, 0))
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                F.concat(F.slice(ranked, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranked, at + 2, F.size(ranked))).alias("ranked"),
+            before, after = F.get(state, at - 2).bitwiseAND(65535), F.get(state, at + 1).bitwiseAND(65535)
+            return F.concat(
+                F.slice(state, F.lit(1), F.greatest(at - 2, F.lit(0))),
+                F.when(at > 1, F.array(ranked(before, least))).otherwise(F.slice(state, 1, 0)),
+                F.array(ranked(least, after)),
+                F.slice(state, at + 2, F.size(state)),
             )
 
-        return _let(F.array_min(state["ranked"]), lambda least: F.when(
-            least < _NONE, _let(F.array_position(state["ranked"], least).cast("int"), lambda at: merged(least, at))
+        return _let(F.shiftright(F.array_min(state), 16), lambda least: F.when(
+            least < _NONE, _let(F.array_position(F.transform(state, lambda x: F.shiftright(x, 16)), least).cast("int"), lambda at: merged(least, at))
         ).otherwise(state))
 
     def fold(ids: Column) -> Column:
-        ranked = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), rank)
-        return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), F.struct(ids.alias("ids"), ranked.alias("ranked")), step)["ids"]
+        pairs = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), ranked)
+        return F.transform(F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), pairs, step), lambda x: x.bitwiseAND(65535))
 
     single = F.transform(word, lambda b: F.get(table, b.cast("int") + 2 * slots))
     return F.when(F.size(word) > 1, _let(single, fold)).otherwise(single).cast("array<int>")
@@ -145,12 +149,45 @@ def _blocks(batches, block_bytes: int):
         yield keys, texts, key_type
 
 
-def common_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int, most: int) -> dict[str, bytes]:
-    """ids of the words that stand in the most blocks, at most `most` words and none of a single block; folded once for all tasks.
+def _gather(ends, flat, at):
+    """The lists `at` of (ends, flat), one after another, and the length of each; list i is flat[ends[i] : ends[i + 1]]."""
+    import numpy as np
+
+    lengths = ends[at + 1] - ends[at]
+    shift = ends[at] - np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(at) else lengths
+    return flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))], lengths
+
+
+class CommonWords:
+    """Words by hash with their ids, as three arrays. An answer counts only if its tokens' bytes are the word."""
+
+    def __init__(self, hashes, ends, ids):
+        self.hashes, self.ends, self.ids = hashes, ends, ids
+
+    def find(self, words: list[bytes], tokens: dict[int, bytes]):
+        """For each word its number here, or -1."""
+        import numpy as np
+        from xxhash import xxh3_64_intdigest
+
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        asked = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        at[self.hashes[at] != asked] = -1
+        for i in np.flatnonzero(at >= 0).tolist():
+            k = at[i]
+            if b"".join(map(tokens.__getitem__, self.ids[self.ends[k] : self.ends[k + 1]].tolist())) != words[i]:
+                at[i] = -1
+        return at
+
+
+def common_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int, most: int) -> CommonWords:
+    """The words that stand in the most blocks, at most `most` words and none of a single block; folded once for all tasks.
 
     Words of all rows are counted by block; the least count that keeps within `most` is the bound. The driver gets a
-    histogram with a row for each count, and the words and their ids.
+    histogram with a row for each count, and the words' hashes and ids.
     """
+    import numpy as np
 
     def distinct(batches):
         import pyarrow as pa
@@ -158,10 +195,14 @@ def common_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_b
 
         matches = regex.compile(pattern).findall
         for _, texts, _ in _blocks(batches, block_bytes):
+            pieces: set[bytes] = set()
+            for t in texts:
+                pieces.update(_pieces(t, pattern))
             words: set[str] = set()
-            for piece in set().union(*(_pieces(t, pattern) for t in texts)):
-                words.update(_cut(piece.decode("utf-8", "replace"), matches, pattern))
+            while pieces:
+                words.update(_cut(pieces.pop().decode("utf-8", "replace"), matches, pattern))
             listed = [w.encode() for w in words]
+            words.clear()
             for i in range(0, len(listed), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(listed[i : i + 50_000], pa.binary())], ["word"])
 
@@ -173,43 +214,46 @@ def common_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_b
             break
         bound = r["n"]
     if bound is None:
-        return {}
+        return CommonWords(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint16))
 
-    def listed(batches):
+    def hashed(batches):
+        import numpy as np
         import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
 
         for batch in batches:
             words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), _bytes_lists(words)], ["word", "list"])
+            hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), _bytes_lists(words)], ["hash", "list"])
 
-    chosen = counted.where(F.col("n") >= bound).select("word").mapInArrow(listed, "word binary, list array<smallint>")
-    table = chosen.select("word", encode_words(F.col("list"), ranks).alias("ids")).toArrow()
-    found: dict[str, bytes] = {}
-    for batch in table.to_batches(20_000):
-        starts, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().astype("<u4").tobytes()
-        for i, w in enumerate(batch.column(0).to_pylist()):
-            found[w.decode()] = flat[4 * starts[i] : 4 * starts[i + 1]]
-    return found
+    chosen = counted.where(F.col("n") >= bound).select("word").mapInArrow(hashed, "hash long, list array<smallint>")
+    table = chosen.select("hash", encode_words(F.col("list"), ranks).cast("array<smallint>").alias("ids")).toArrow()
+    hashes = table.column("hash").to_numpy().view(np.uint64)
+    lists = table.column("ids").combine_chunks()
+    ids = lists.values.to_numpy()[lists.offsets[0].as_py() :].view(np.uint16)
+    ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    by = np.argsort(hashes, kind="stable")
+    ids, lengths = _gather(ends, ids, by)
+    return CommonWords(hashes[by], np.concatenate([[0], np.cumsum(lengths)]), ids)
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 48_000_000, most_common: int = 800_000) -> DataFrame:
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 24_000_000, most_common: int = 2_000_000) -> DataFrame:
     """Encode every whole text: a row (id column, ids array of int, ids_bytes little-endian unsigned 32-bit) for each document.
 
     Texts are cut by `pattern` and each match is encoded separately. Up to most_common words that stand in several
-    blocks are folded first and broadcast with their ids, some tens of megabytes whatever the input. Then a task reads
-    its rows in blocks of block_bytes of text: first come the block's other distinct words, which Spark folds to ids
-    (encode_words), then its documents as numbers of words, whose ids are put together. Texts are not shuffled, and
-    memory is bounded by a block.
+    blocks are folded first and broadcast as arrays of hashes and ids, some 20 bytes a word whatever the input. Then a
+    task reads its rows in blocks of block_bytes of text: first come the block's other distinct words, which Spark folds
+    to ids (encode_words), then its documents as ids with marks for those words, which the folded ids replace. Texts are
+    not shuffled, and memory is bounded by a block, or by the longest text.
 
-    Null and empty texts have no ids. Null ids and repeated rows are kept, other columns ignored.
+    Null and empty texts have no ids. Null ids, repeated rows and rows that share an id are kept; other columns are
+    ignored, whatever their names. Texts of any length are taken whole. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     ranks = load_ranks(ranks_path)
-    rows = docs.select(F.col(id_col), F.col(text_col))
-    common = common_words(rows, ranks, pattern, block_bytes, most_common)
-    numbered = spark.sparkContext.broadcast({w: i for i, w in enumerate(common)})
-    encoded = spark.sparkContext.broadcast(list(common.values()))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    common = spark.sparkContext.broadcast((common_words(rows, ranks, pattern, block_bytes, most_common), {r: w for w, r in ranks.items()}))
 
     def cut(batches):
         import numpy as np
@@ -217,81 +261,110 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
         import regex
 
         matches = regex.compile(pattern).findall
-        number = numbered.value
+        table, tokens = common.value
         for keys, texts, key_type in _blocks(batches, block_bytes):
-            words: dict[str, int] = {}
-            known: dict[bytes, bytes] = {}
-            held = []
-            for text in texts:
-                pieces = _pieces(text, pattern)
-                for x in set(pieces).difference(known):
-                    at = []
-                    for w in _cut(x.decode("utf-8", "replace"), matches, pattern):
-                        n = number.get(w)
-                        at.append(len(number) + words.setdefault(w, len(words)) if n is None else n)
-                    known[x] = array("i", at).tobytes()
-                held.append(b"".join(map(known.__getitem__, pieces)))
-            known.clear()
-            raw = [w.encode() for w in words]
-            words.clear()
-            for i in range(0, len(raw), 10_000):
-                part = raw[i : i + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), key_type), _bytes_lists(part), pa.nulls(len(part), pa.binary())], ["id", "word", "at"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), _bytes_lists([b""]), pa.nulls(1, pa.binary())], ["id", "word", "at"])  # ends the words
+            numbers: defaultdict = defaultdict()
+            numbers.default_factory = numbers.__len__
+            held = [array("I", map(numbers.__getitem__, _pieces(t, pattern))) for t in texts]
+            texts.clear()
+            named: defaultdict = defaultdict()
+            named.default_factory = named.__len__
+            of_piece, ends = array("I"), [0]
+            for piece in numbers:
+                of_piece.extend(map(named.__getitem__, _cut(piece.decode("utf-8", "replace"), matches, pattern)))
+                ends.append(len(of_piece))
+            numbers.clear()
+            words = [w.encode() for w in named]
+            named.clear()
+            found = table.find(words, tokens)
+            new = np.flatnonzero(found < 0)
+            for i in range(0, len(new), 10_000):
+                part = [words[k] for k in new[i : i + 10_000].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), key_type), _bytes_lists(part), pa.nulls(len(part), pa.binary())], ["id", "word", "marked"])
+            # ids of words: those of the common ones, and for the others marks in the order in which they were sent
+            lengths = np.ones(len(words), np.int64)
+            old = np.flatnonzero(found >= 0)
+            lengths[old] = np.diff(table.ends)[found[old]] if len(old) else 0
+            word_ends = np.concatenate([[0], np.cumsum(lengths)])
+            word_ids = np.empty(int(word_ends[-1]), np.uint32)
+            mine = np.repeat(found >= 0, lengths)
+            word_ids[mine] = _gather(table.ends, table.ids, found[old])[0]
+            word_ids[~mine] = np.arange(len(new), dtype=np.uint32) | np.uint32(1 << 31)
+            ends = np.array(ends, np.int64)
+            piece_ids, lengths = _gather(word_ends, word_ids, np.frombuffer(of_piece, np.uint32).astype(np.int64))
+            piece_ends = np.concatenate([[0], np.cumsum(lengths)])[ends]
             start = size = 0
             for i, r in enumerate(held):
                 size += len(r)
-                if size > 4_000_000 or i == len(held) - 1:
-                    n = i + 1 - start
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[start : i + 1], key_type), pa.nulls(n, pa.list_(pa.int16())), pa.array(held[start : i + 1], pa.binary())], ["id", "word", "at"])
+                if size > 1_000_000 or i == len(held) - 1:
+                    some = held[start : i + 1]
+                    at = np.concatenate([np.frombuffer(x, np.uint32) for x in some]).astype(np.int64)
+                    ids, lengths = _gather(piece_ends, piece_ids, at)
+                    sums = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum([len(x) for x in some])])]
+                    marked = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((4 * sums).astype("<i4").tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[start : i + 1], key_type), pa.nulls(len(some), pa.list_(pa.int16())), marked], ["id", "word", "marked"])
                     start, size = i + 1, 0
 
     def join(batches):
         import numpy as np
+        import pyarrow as pa
 
-        words, in_words = encoded.value, False
-        base = len(words)
-        words = list(words)
+        lists, open_ = [], False  # the folded words of a block, and whether more may come
         for batch in batches:
-            key_type = batch.schema.field(0).type
-            out_k, out_i, size = [], [], 0
-            lists = batch.column(1)
-            starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4").tobytes()
-            keys, idx = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for i, at in enumerate(idx):
-                if at is None:
-                    if not in_words:
-                        del words[base:]
-                        in_words = True
-                    words.append(flat[4 * starts[i] : 4 * starts[i + 1]])
+            given = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            # a batch may hold the end of a block's words, documents, and the next block's words
+            edges = np.flatnonzero(np.diff(given)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(given)]):
+                part = batch.slice(lo, hi - lo)
+                if not given[lo]:
+                    if not open_:
+                        lists, open_ = [], True
+                    lists.append(part.column(1))
                     continue
-                in_words = False
-                out_k.append(keys[i])
-                out_i.append(b"".join(map(words.__getitem__, np.frombuffer(at, "<i4").tolist())))
-                size += len(out_i[-1])
-                if size > 8_000_000:
-                    yield emit(out_k, out_i, key_type)
-                    out_k, out_i, size = [], [], 0
-            if out_k:
-                yield emit(out_k, out_i, key_type)
-
-    def emit(keys, ids, key_type):
-        import numpy as np
-        import pyarrow as pa
-
-        ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-        return pa.RecordBatch.from_arrays([pa.array(keys, key_type), lists, pa.array(ids, pa.binary())], [id_col, "ids", "ids_bytes"])
-
-    cut_rows = rows.mapInArrow(cut, f"id {kind}, word array<smallint>, at binary")
-    folded = cut_rows.select("id", F.when(F.col("at").isNull(), encode_words(F.col("word"), ranks)).alias("ids"), "at")
+                if open_:
+                    words = pa.concat_arrays(lists)
+                    starts = words.offsets.to_numpy().astype(np.int64)
+                    flat, open_ = words.values.to_numpy().astype("<u4"), False
+                texts = part.column(2).to_pylist()
+                marked = np.frombuffer(b"".join(texts), "<u4")
+                counts = np.array([len(t) // 4 for t in texts])
+                mark = marked >> 31 == 1
+                if mark.any():
+                    at = (marked[mark] & 0x7FFFFFFF).astype(np.int64)
+                    lengths = np.ones(len(marked), np.int64)
+                    lengths[mark] = starts[at + 1] - starts[at]
+                    folded = np.repeat(mark, lengths)
+                    ids = np.empty(len(folded), "<u4")
+                    ids[~folded] = marked[~mark]
+                    ids[folded] = _gather(starts, flat, at)[0]
+                    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+                else:
+                    ids, ends = marked, np.concatenate([[0], np.cumsum(counts)])
+                data, offsets = pa.py_buffer(ids.tobytes()), ends.astype(np.int32)
+                values = pa.Array.from_buffers(pa.int32(), len(ids), [None, data])
+                raw = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * offsets).tobytes()), data])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values), raw], [id_col, "ids", "ids_bytes"])
+
+    cut_rows = rows.mapInArrow(cut, f"id {kind}, word array<smallint>, marked binary")
+    folded = cut_rows.select("id", F.when(F.col("marked").isNull(), encode_words(F.col("word"), ranks)).alias("ids"), "marked")
     return folded.mapInArrow(join, f"`{id_col}` {kind}, ids array<int>, ids_bytes binary")
 
 
 def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes (binary) of an array of ids: their pieces, joined. Null gives null; an id without a token is left out."""
-    pieces = [""] * (max(ranks.values()) + 1)
+    """The bytes (binary) of an array of ids: their binary pieces, concatenated. Null gives null; an id without a token is left out."""
+    pieces = [b""] * (max(ranks.values()) + 1)
     for word, rank in ranks.items():
-        pieces[rank] = word.hex()
-    named = F.array(F.split(F.lit(",".join(pieces)), ","))
-    return F.unhex(F.get(F.transform(named, lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")), F.lit(0)))
+        pieces[rank] = word
+    spans, end = [], 0
+    for p in pieces:
+        spans.append(end << 16 | len(p))
+        end += len(p)
+    blob = F.unhex(F.lit(b"".join(pieces).hex()))  # the optimizer folds both to literals
+    named = F.array(F.struct(blob.alias("blob"), F.split(F.lit(",".join(map(str, spans))), ",").cast("array<bigint>").alias("spans")))
+
+    def piece(table: Column, i: Column) -> Column:
+        """A piece as a string of its bytes, valid or not, which array_join puts together as they are."""
+        span = F.get(table["spans"], i)
+        return F.substring(table["blob"], F.shiftright(span, 16).cast("int") + 1, span.bitwiseAND(65535).cast("int")).cast("string")
+
+    return F.get(F.transform(named, lambda table: F.array_join(F.transform(ids, lambda i: piece(table, i)), "")), F.lit(0)).cast("binary")

@@ -227,10 +227,10 @@ def common_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_b
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), _bytes_lists(words)], ["hash", "list"])
 
     chosen = counted.where(F.col("n") >= bound).select("word").mapInArrow(hashed, "hash long, list array<smallint>")
-    table = chosen.select("hash", encode_words(F.col("list"), ranks).cast("array<smallint>").alias("ids")).toArrow()
+    table = chosen.select("hash", encode_words(F.col("list"), ranks).alias("ids")).toArrow()
     hashes = table.column("hash").to_numpy().view(np.uint64)
     lists = table.column("ids").combine_chunks()
-    ids = lists.values.to_numpy()[lists.offsets[0].as_py() :].view(np.uint16)
+    ids = lists.values.to_numpy()[lists.offsets[0].as_py() :].astype(np.uint16)
     ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
     by = np.argsort(hashes, kind="stable")
     ids, lengths = _gather(ends, ids, by)

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causalframe.functions import paths as P
-from causalframe.operators import containers as C, frontier as A, ops as O, policy as L, proof as R
+from causalframe.operators import containers as C, frontier as A, ops as O, policy as L, proof as R, writes as W
 from causalframe.plans import point
 from causalframe.sources import feeds, sinks
-from causalframe.storage import scratch
+from causalframe.storage import scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,9 +26,10 @@ def query(sql: str | None = None):
     return add
 
 
-#: The moment at which deadlines are judged, and the clock up to which the resident state of some queries goes.
+#: The moment at which deadlines are judged.
 AS_OF = "2024-01-20 00:00:00"
-BEFORE = 5000
+#: The older state of some queries: up to so many tenths of the largest clock, in SQL and for until().
+HALF, MOST = [f"clk * 10 <= {n} * (SELECT max(event_id) FROM events)" for n in (5, 9)]
 
 CHANGES = """changes AS (SELECT event_id AS clk, ts AS commit_ts, user_id, 'users:' || CAST(user_id AS VARCHAR) || ':value' AS path,
   event_type = 'error' AS is_tombstone,
@@ -54,6 +55,12 @@ def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.latest(changes(spark, sf_dir).select("path", "clk", "commit_ts", "is_tombstone", "value", "expires_at"))
 
 
+def until(feed: DataFrame, tenths: int) -> DataFrame:
+    """The changes up to so many tenths of the largest clock."""
+    most = feed.agg(F.max("clk")).first()[0]
+    return feed.where(F.col("clk") * 10 <= F.lit(tenths) * F.lit(most).cast("long"))
+
+
 def as_of():
     return F.to_timestamp(F.lit(AS_OF))
 
@@ -91,10 +98,10 @@ def expired_paths(spark, sf_dir):
     return A.live(frontier(spark, sf_dir)).where(F.col("expires_at") < as_of()).select("path", micros("expires_at").alias("expired_at"))
 
 
-@query(f"""WITH {CHANGES}, marked AS (SELECT *, lag(clk) OVER w AS before, lag(is_tombstone) OVER w AS was_gone, lag(value) OVER w AS was FROM changes WINDOW w AS (PARTITION BY path ORDER BY clk))
-SELECT path, clk, value FROM marked WHERE before IS NULL OR is_tombstone IS DISTINCT FROM was_gone OR value IS DISTINCT FROM was""")
+@query(f"""WITH {CHANGES}, marked AS (SELECT *, lag(clk) OVER w AS before, lag(is_tombstone) OVER w AS was_gone, lag(value) OVER w AS was, lag(expires_at) OVER w AS due FROM changes WINDOW w AS (PARTITION BY path ORDER BY clk))
+SELECT path, clk, value FROM marked WHERE before IS NULL OR is_tombstone IS DISTINCT FROM was_gone OR value IS DISTINCT FROM was OR expires_at IS DISTINCT FROM due""")
 def dedup_versions(spark, sf_dir):
-    return A.without_repeats(changes(spark, sf_dir)).select("path", "clk", "value")
+    return A.without_repeats(changes(spark, sf_dir), ("value", "is_tombstone", "expires_at")).select("path", "clk", "value")
 
 
 @query(f"""WITH {CHANGES} SELECT path, clk, lag(clk) OVER w AS parent_clk, CAST(row_number() OVER w - 1 AS BIGINT) AS depth,
@@ -108,13 +115,13 @@ def causal_depth(spark, sf_dir):
     return A.history(changes(spark, sf_dir)).groupBy("path").agg(F.max("depth").alias("depth"), F.max("clk").alias("clk"))
 
 
-@query(f"""WITH {CHANGES}, resident AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY clk DESC) AS rn FROM changes WHERE clk < {BEFORE}) WHERE rn = 1)
+@query(f"""WITH {CHANGES}, resident AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY clk DESC) AS rn FROM changes WHERE {HALF}) WHERE rn = 1)
 SELECT c.path, c.clk, c.value FROM changes c LEFT JOIN resident r ON c.path = r.path
-WHERE c.clk % 2 = 0 AND (r.path IS NULL OR (r.commit_ts <= c.commit_ts AND (c.value IS DISTINCT FROM r.value OR c.is_tombstone IS DISTINCT FROM r.is_tombstone)))""")
+WHERE r.path IS NULL OR (r.commit_ts <= c.commit_ts AND (c.value IS DISTINCT FROM r.value OR c.is_tombstone IS DISTINCT FROM r.is_tombstone))""")
 def cdc_apply_echo(spark, sf_dir):
     feed = changes(spark, sf_dir)
-    resident = A.latest(feed.where(F.col("clk") < BEFORE).select("path", "clk", "commit_ts", "is_tombstone", "value"))
-    return A.apply_changes(resident, feed.where("clk % 2 = 0")).select("path", "clk", "value")
+    resident = A.latest(until(feed, 5).select("path", "clk", "commit_ts", "is_tombstone", "value"))
+    return A.apply_changes(resident, feed).select("path", "clk", "value")
 
 
 @query(f"WITH {FRONTIER} SELECT path, clk, sha256(path || chr(31) || CAST(clk AS VARCHAR) || chr(31) || coalesce(value, '')) AS hash FROM frontier WHERE NOT is_tombstone")
@@ -122,13 +129,13 @@ def atom_hashes(spark, sf_dir):
     return A.live(frontier(spark, sf_dir)).select("path", "clk", P.version_id(F.col("path"), F.col("clk"), F.col("value")).alias("hash"))
 
 
-@query(f"""WITH {FRONTIER}, base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY clk DESC) AS r2 FROM changes WHERE clk < {BEFORE}) WHERE r2 = 1)
+@query(f"""WITH {FRONTIER}, base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY clk DESC) AS r2 FROM changes WHERE {HALF}) WHERE r2 = 1)
 SELECT p.path, CASE WHEN NOT l.is_tombstone AND l.commit_ts >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 2 DAY THEN l.value ELSE p.value END AS value,
 CASE WHEN NOT l.is_tombstone AND l.commit_ts >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 2 DAY THEN 'local' ELSE 'primary' END AS origin
 FROM frontier p LEFT JOIN base l ON p.path = l.path WHERE NOT p.is_tombstone""")
 def read_through(spark, sf_dir):
     feed = changes(spark, sf_dir).select("path", "clk", "commit_ts", "is_tombstone", "value")
-    local = A.live(A.latest(feed.where(F.col("clk") < BEFORE)))
+    local = A.live(A.latest(until(feed, 5)))
     return A.read_through(local, A.live(A.latest(feed)), F.to_timestamp(F.lit("2024-01-15 00:00:00")), "2 days")
 
 
@@ -318,11 +325,7 @@ up(node, level) AS (SELECT DISTINCT 'lineitem:' || CAST(l_orderkey AS VARCHAR) |
  UNION SELECT e.parent, up.level + 1 FROM up JOIN edges e ON e.child = up.node)
 SELECT node, min(level) AS level FROM up WHERE level > 0 GROUP BY node""")
 def dirty_closure(spark, sf_dir):
-    def edge(table, child, key, parent, up):
-        return feeds.table(spark, sf_dir, table).select(F.concat(F.lit(child + ":"), F.col(key)).alias("child"), F.concat(F.lit(parent + ":"), F.col(up)).alias("parent"))
-
-    edges = _edges(spark, sf_dir).select("child", "parent").union(edge("orders", "orders", "o_orderkey", "customer", "o_custkey"))
-    edges = edges.union(edge("customer", "customer", "c_custkey", "nation", "c_nationkey")).union(edge("nation", "nation", "n_nationkey", "region", "n_regionkey"))
+    edges = _all_edges(spark, sf_dir)
     changed = _cells(spark, sf_dir, SINCE).where("clk = 2").select(F.col("path").alias("node"))
     return R.dirty_closure(edges, changed)
 
@@ -545,13 +548,13 @@ def stream_len(spark, sf_dir):
 
 
 # operations ---------------------------------------------------------------
-DIFF = f"""{FRONTIER}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY clk DESC) AS r2 FROM changes WHERE clk < 9000) WHERE r2 = 1),
+DIFF = f"""{FRONTIER}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY clk DESC) AS r2 FROM changes WHERE {MOST}) WHERE r2 = 1),
 d AS (SELECT s.path, s.value, t.value AS target_value, CASE WHEN t.path IS NULL THEN 'missing' WHEN s.value IS NOT DISTINCT FROM t.value THEN 'match' ELSE 'different' END AS state
 FROM frontier s LEFT JOIN t ON s.path = t.path AND NOT t.is_tombstone WHERE NOT s.is_tombstone)"""
 
 
 def _diff(spark, sf_dir):
-    older = A.latest(changes(spark, sf_dir).where("clk < 9000").select("path", "clk", "is_tombstone", "value"))
+    older = A.latest(until(changes(spark, sf_dir), 9).select("path", "clk", "is_tombstone", "value"))
     return O.shadow_diff(A.live(frontier(spark, sf_dir)), A.live(older))
 
 
@@ -641,17 +644,17 @@ def _before(key, clock):
 
 
 # policy -------------------------------------------------------------------
-USERS = [("app", True, False, ["GET", "SET"], ["users:1*", "profile:*"]), ("root", True, True, [], []), ("off", False, True, [], ["*"]), ("reader", True, False, ["GET"], ["*"]), ("any", True, False, ["ALL"], ["users:7"])]
+USERS = [("shop", True, False, ["GET", "SET"], ["users:1*", "basket:*"]), ("root", True, True, [], []), ("off", False, True, [], ["*"]), ("reader", True, False, ["GET"], ["*"]), ("any", True, False, ["ALL"], ["users:7"])]
 
 
-@query("""WITH r AS (SELECT event_id AS ord, CASE user_id % 6 WHEN 0 THEN 'app' WHEN 1 THEN 'root' WHEN 2 THEN 'off' WHEN 3 THEN 'reader' WHEN 4 THEN 'any' ELSE 'nobody' END AS usr,
+@query("""WITH r AS (SELECT event_id AS ord, CASE user_id % 6 WHEN 0 THEN 'shop' WHEN 1 THEN 'root' WHEN 2 THEN 'off' WHEN 3 THEN 'reader' WHEN 4 THEN 'any' ELSE 'nobody' END AS usr,
  CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'SET' ELSE 'DEL' END AS cmd, CASE WHEN event_type <> 'signup' THEN 'users:' || CAST(user_id AS VARCHAR) END AS key FROM events)
-SELECT ord, CASE usr WHEN 'root' THEN true WHEN 'app' THEN cmd IN ('GET', 'SET') AND (key IS NULL OR key LIKE 'users:1%' OR key LIKE 'profile:%')
+SELECT ord, CASE usr WHEN 'root' THEN true WHEN 'shop' THEN cmd IN ('GET', 'SET') AND (key IS NULL OR key LIKE 'users:1%' OR key LIKE 'basket:%')
  WHEN 'reader' THEN cmd = 'GET' WHEN 'any' THEN key IS NULL OR key = 'users:7' ELSE false END AS allowed FROM r""")
 def acl_decision(spark, sf_dir):
     users = spark.createDataFrame(USERS, "user string, enabled boolean, admin boolean, commands array<string>, patterns array<string>")
     e, u = F.col("event_type"), F.col("user_id") % 6
-    name = F.when(u == 0, "app").when(u == 1, "root").when(u == 2, "off").when(u == 3, "reader").when(u == 4, "any").otherwise("nobody")
+    name = F.when(u == 0, "shop").when(u == 1, "root").when(u == 2, "off").when(u == 3, "reader").when(u == 4, "any").otherwise("nobody")
     cmd = F.when(e == "view", "GET").when(e == "click", "SET").otherwise("DEL")
     key = F.when(e != "signup", F.concat(F.lit("users:"), F.col("user_id")))
     requests = feeds.table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), name.alias("user"), cmd.alias("cmd"), key.alias("key"))
@@ -678,6 +681,200 @@ def slot_level(spark, sf_dir):
     return feeds.table(spark, sf_dir, "supplier").select(k.alias("id"), level.alias("level"), ((state != -1.0) & L.stale(state, 9000)).alias("stale"))
 
 
+# composites of composites, records, stored results ---------------------------
+@query(f"WITH {CELLS.format(since=NEVER)} SELECT parent, CAST(count(*) AS BIGINT) AS n_fields, min(CAST(value AS BIGINT)) AS least, max(CAST(value AS BIGINT)) AS most FROM cells GROUP BY parent")
+def compose_record(spark, sf_dir):
+    """Records as maps, and what their fields hold."""
+    made = R.records(_edges(spark, sf_dir), _cells(spark, sf_dir, NEVER).drop("parent"))
+    values = F.transform(F.map_values("record"), lambda v: v.cast("long"))
+    return made.select("parent", F.size("record").cast("long").alias("n_fields"), F.array_min(values).alias("least"), F.array_max(values).alias("most"))
+
+
+@query(f"""WITH {CELLS.format(since=NEVER)}, n AS (SELECT parent, count(*) AS n, min(value) AS v FROM cells GROUP BY parent)
+SELECT n.parent, c.value AS third, CASE WHEN n.n = 1 THEN n.v END AS single FROM n LEFT JOIN cells c ON c.parent = n.parent AND c.child = replace(n.parent, 'orders:', 'lineitem:') || '-3'""")
+def field_access(spark, sf_dir):
+    """The field of line 3 of each order's record, and the value of records of a single field."""
+    made = R.records(_edges(spark, sf_dir), _cells(spark, sf_dir, NEVER).drop("parent"))
+    name = F.concat(F.replace(F.col("parent"), F.lit("orders:"), F.lit("lineitem:")), F.lit("-3"))
+    return made.select("parent", R.field(F.col("record"), name).alias("third"), F.when(F.size("record") == 1, R.unwrapped(F.col("record"))).alias("single"))
+
+
+def _nested(since):
+    up = "SELECT {p} AS parent, {n} AS n_fields, sha256(string_agg(child || '=' || record, ';' ORDER BY child || '=' || record)) AS record FROM {f} GROUP BY 1"
+    return f"""WITH {CELLS.format(since=since)}, o AS ({COMPOSE}),
+c AS ({up.format(p="'customer:' || CAST(o_custkey AS VARCHAR)", n="count(*)", f="(SELECT o_custkey, o.parent AS child, o.record FROM o JOIN orders ON o.parent = 'orders:' || CAST(o_orderkey AS VARCHAR))")}),
+n AS ({up.format(p="'nation:' || CAST(c_nationkey AS VARCHAR)", n="count(*)", f="(SELECT c_nationkey, c.parent AS child, c.record FROM c JOIN customer ON c.parent = 'customer:' || CAST(c_custkey AS VARCHAR))")}),
+r AS ({up.format(p="'region:' || CAST(n_regionkey AS VARCHAR)", n="count(*)", f="(SELECT n_regionkey, n.parent AS child, n.record FROM n JOIN nation ON n.parent = 'nation:' || CAST(n_nationkey AS VARCHAR))")})
+SELECT *, 1 AS level FROM o UNION ALL SELECT *, 2 FROM c UNION ALL SELECT *, 3 FROM n UNION ALL SELECT *, 4 FROM r"""
+
+
+def _all_edges(spark, sf_dir):
+    def edge(table, child, key, parent, up):
+        return feeds.table(spark, sf_dir, table).select(F.concat(F.lit(child + ":"), F.col(key)).alias("child"), F.concat(F.lit(parent + ":"), F.col(up)).alias("parent"))
+
+    edges = _edges(spark, sf_dir).select("child", "parent").union(edge("orders", "orders", "o_orderkey", "customer", "o_custkey"))
+    return edges.union(edge("customer", "customer", "c_custkey", "nation", "c_nationkey")).union(edge("nation", "nation", "n_nationkey", "region", "n_regionkey"))
+
+
+@query(_nested(SINCE))
+def incremental_nested(spark, sf_dir):
+    """Orders of line items, customers of orders, nations and regions, made once and brought up to date after the changes
+    since SINCE; the SQL recomputes everything."""
+    edges = written(_all_edges(spark, sf_dir), "edges")
+    old, new = _cells(spark, sf_dir, NEVER).drop("parent"), _cells(spark, sf_dir, SINCE).drop("parent")
+    results = written(R.compose_levels(edges, old), "results")
+    return R.recompute_levels(results, edges, new.where("clk = 2").select(F.col("path").alias("node")), new)
+
+
+def stored_state(spark, sf_dir):
+    """What a running engine has stored: the edges and the first state of the cells."""
+    return written(_edges(spark, sf_dir), "edges"), written(_cells(spark, sf_dir, NEVER).drop("parent"), "cells")
+
+
+LATELY = "1998-11-01 00:00:00"
+
+
+def update_after(spark, sf_dir, state):
+    """The results that the changes since LATELY make anew, from a stored state."""
+    changed = _cells(spark, sf_dir, LATELY).where("clk = 2").select("path", "value", "clk")
+    return R.update(*state, changed)
+
+
+@query(f"WITH {CELLS.format(since=LATELY)} SELECT * FROM ({COMPOSE}) WHERE parent IN (SELECT parent FROM cells WHERE clk = 2)")
+def incremental_update(spark, sf_dir):
+    return update_after(spark, sf_dir, stored_state(spark, sf_dir))
+
+
+@query(f"""WITH {FRONTIER}, asked AS (SELECT DISTINCT user_id // 10 AS key, 'users:' || CAST(user_id + user_id % 2 * 1000000 AS VARCHAR) || ':value' AS path FROM events), h AS (SELECT key, coalesce(CASE WHEN f.path IS NOT NULL THEN sha256(f.path || chr(31) || CAST(f.clk AS VARCHAR) || chr(31) || coalesce(f.value, '')) END, repeat('0', 64)) AS hash FROM asked LEFT JOIN frontier f ON asked.path = f.path)
+SELECT key, count(*) AS n, count(*) FILTER (WHERE hash = repeat('0', 64)) AS missing FROM h GROUP BY key""")
+def merkle_for_paths(spark, sf_dir):
+    """Roots over asked paths, half of which are missing; the SQL holds the leaves, tests the roots."""
+    user = F.col("user_id")
+    asked = feeds.table(spark, sf_dir, "events").select(F.floor(user / 10).alias("key"), F.concat(F.lit("users:"), user + user % 2 * 1000000, F.lit(":value")).alias("path")).distinct()
+    hashed = frontier(spark, sf_dir).select("path", P.version_id(F.col("path"), F.col("clk"), F.col("value")).alias("hash"))
+    roots = R.merkle_root_for(hashed, asked).where(F.length("root") == 64)
+    counts = asked.join(hashed, "path", "left").groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("hash").isNull(), 1)).alias("missing"))
+    return counts.join(roots, "key").select("key", "n", "missing")
+
+
+@query(f"WITH {CHANGES}, v AS (SELECT path, clk, sha256(path || chr(31) || CAST(clk AS VARCHAR) || chr(31) || coalesce(value, '')) AS id FROM changes) SELECT * FROM (SELECT path, id AS child_id, lag(id) OVER (PARTITION BY path ORDER BY clk) AS parent_id FROM v) WHERE parent_id IS NOT NULL")
+def causal_parents(spark, sf_dir):
+    return R.parent_edges(A.history(changes(spark, sf_dir)))
+
+
+@query(f"WITH {CELLS.format(since=NEVER)} SELECT parent, sha256(string_agg(sha256(child || chr(31) || CAST(clk AS VARCHAR) || chr(31) || value), '' ORDER BY child)) AS root FROM cells GROUP BY parent")
+def proof_roots(spark, sf_dir):
+    cells = _cells(spark, sf_dir, NEVER)
+    return R.proof_root(cells.select("parent", F.col("path").alias("child"), P.version_id(F.col("path"), F.col("clk"), F.col("value")).alias("hash")))
+
+
+@query("SELECT 'customer:' || CAST(c_custkey AS VARCHAR) AS path, sha256('customer:' || CAST(c_custkey AS VARCHAR) || chr(31) || 'deductive') AS hash FROM customer")
+def query_hashes(spark, sf_dir):
+    path = F.concat(F.lit("customer:"), F.col("c_custkey"))
+    return feeds.table(spark, sf_dir, "customer").select(path.alias("path"), R.query_hash(path, F.lit("deductive")).alias("hash"))
+
+
+# writes ---------------------------------------------------------------------
+_COMMANDS = ("SET", "GET", "SETEX", "TTL", "DEL", "EXISTS", "EXPIRE", "PTTL", "PERSIST", "PSETEX", "PEXPIRE", "GET")
+
+
+def _commands(spark, sf_dir):
+    k = F.col("event_id")
+    cmd = F.get(F.array(*map(F.lit, _COMMANDS)), (F.abs(k * 7 + F.col("user_id")) % len(_COMMANDS)).cast("int"))
+    return feeds.table(spark, sf_dir, "events").select(
+        k.alias("ord"), F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("k:"), F.col("user_id")).alias("path"), cmd.alias("cmd"), F.concat(F.lit("v"), k).alias("value"), ((k % 9 - 1) * 100_000).alias("amount")
+    )
+
+
+REPLIES = f"""cmds AS (SELECT event_id AS ord, epoch_us(ts) AS moment, 'k:' || CAST(user_id AS VARCHAR) AS path, {list(_COMMANDS)}[CAST((event_id * 7 + user_id) % {len(_COMMANDS)} + 1 AS INTEGER)] AS cmd, 'v' || CAST(event_id AS VARCHAR) AS value, (event_id % 9 - 1) * 100000 AS amount FROM events),
+m AS (SELECT *, cmd = 'DEL' OR cmd = 'SET' OR (cmd IN ('SETEX', 'PSETEX') AND amount > 0) AS starts,
+ CASE WHEN cmd IN ('SETEX', 'EXPIRE') AND amount > 0 THEN moment + amount * 1000000 WHEN cmd IN ('PSETEX', 'PEXPIRE') AND amount > 0 THEN moment + amount * 1000 WHEN cmd IN ('SET', 'PERSIST') THEN 0 END AS deadline FROM cmds),
+r AS (SELECT *, coalesce(sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER b, 0) AS run, last_value(CASE WHEN starts THEN cmd END IGNORE NULLS) OVER b AS last_cmd, last_value(CASE WHEN starts THEN value END IGNORE NULLS) OVER b AS last_value, nullif(last_value(deadline IGNORE NULLS) OVER b, 0) AS due
+ FROM m WINDOW b AS (PARTITION BY path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+d AS (SELECT *, bool_or(coalesce(due <= moment, false)) OVER (PARTITION BY path, run ORDER BY ord) AS dead FROM r),
+s AS (SELECT *, last_cmd IS NOT NULL AND NOT dead AS there, last_cmd IS NOT NULL AND NOT dead AND last_cmd <> 'DEL' AS live FROM d),
+replies AS (SELECT ord, path, cmd, CASE WHEN cmd IN ('SETEX', 'PSETEX', 'PEXPIRE') AND amount <= 0 THEN 'ERR invalid expire time' WHEN cmd IN ('SET', 'SETEX', 'PSETEX') THEN 'OK' WHEN cmd = 'GET' THEN CASE WHEN live THEN last_value END
+ WHEN cmd = 'DEL' THEN CASE WHEN there THEN '1' ELSE '0' END WHEN cmd = 'EXISTS' THEN CASE WHEN live THEN '1' ELSE '0' END WHEN cmd IN ('EXPIRE', 'PEXPIRE') THEN CASE WHEN live AND amount > 0 THEN '1' ELSE '0' END
+ WHEN cmd = 'PERSIST' THEN CASE WHEN live AND due IS NOT NULL THEN '1' ELSE '0' END WHEN NOT live THEN '-2' WHEN due IS NULL THEN '-1' WHEN cmd = 'TTL' THEN CAST((due - moment) // 1000000 AS VARCHAR) ELSE CAST((due - moment) // 1000 AS VARCHAR) END AS reply FROM s)"""
+
+
+@query(f"WITH {REPLIES} SELECT ord, path, cmd, reply FROM replies")
+def command_replies(spark, sf_dir):
+    return W.run_commands(_commands(spark, sf_dir)).select("ord", "path", "cmd", "reply")
+
+
+@query(f"WITH {REPLIES} SELECT ord // 8 AS txn, string_agg(coalesce(reply, '(nil)'), '|' ORDER BY ord) AS replies FROM replies GROUP BY 1")
+def transaction_replies(spark, sf_dir):
+    replies = W.run_commands(_commands(spark, sf_dir)).withColumn("txn", F.floor(F.col("ord") / 8))
+    return W.transactions(replies, "txn").select("txn", F.array_join("replies", "|").alias("replies"))
+
+
+@query(f"""WITH {CHANGES}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY clk DESC) AS rn FROM changes WHERE {HALF}) WHERE rn = 1),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY clk DESC) AS rn FROM changes) WHERE rn = 1)
+SELECT b.path, CASE WHEN a.value IS NOT DISTINCT FROM b.value AND a.is_tombstone = b.is_tombstone AND a.expires_at IS NOT DISTINCT FROM b.expires_at THEN a.clk ELSE b.clk END AS clk, b.value FROM b LEFT JOIN a ON a.path = b.path""")
+def append_guarded(spark, sf_dir):
+    columns = ["path", "clk", "is_tombstone", "value", "expires_at"]
+    feed = changes(spark, sf_dir).select(columns)
+    return W.append(A.latest(until(feed, 5)), feed).select("path", "clk", "value")
+
+
+@query(f"WITH {FRONTIER} SELECT path, CAST(clk + 1 AS BIGINT) AS clk FROM frontier WHERE NOT is_tombstone AND expires_at < TIMESTAMP '{AS_OF}'")
+def ttl_sweep(spark, sf_dir):
+    return W.sweep(frontier(spark, sf_dir), as_of(), F.col("clk") + 1).select("path", "clk")
+
+
+@query(f"WITH {FRONTIER} SELECT path, clk, value FROM frontier")
+def log_compaction(spark, sf_dir):
+    folder = scratch(spark, "log")
+    hashed = P.version_id(F.col("path"), F.col("clk"), F.col("value")).alias("hash")
+    sinks.write_log(changes(spark, sf_dir).select("path", "clk", "value", "is_tombstone", hashed), folder)
+    sinks.rewrite_log(feeds.read_log(spark, folder), folder)
+    return feeds.read_log(spark, folder).select("path", "clk", "value")
+
+
+@query("""SELECT 's:' || CAST(s_suppkey AS VARCHAR) AS path, CASE s_suppkey % 3 WHEN 0 THEN s_name END AS as_string, CASE WHEN s_suppkey % 3 = 1 THEN s_suppkey END AS as_int, CASE WHEN s_suppkey % 3 = 2 THEN s_suppkey % 2 = 1 END AS as_bool, CAST(NULL AS BIGINT) AS n_items FROM supplier
+ UNION ALL SELECT 'n:' || CAST(n_regionkey AS VARCHAR), NULL, NULL, NULL, count(*) FROM nation GROUP BY n_regionkey""")
+def snapshot_kinds(spark, sf_dir):
+    """A snapshot of strings, numbers, truth values and lists, written and read back by kind."""
+    k = F.col("s_suppkey")
+    kind = F.when(k % 3 == 0, "string").when(k % 3 == 1, "int").otherwise("bool")
+    value = F.when(k % 3 == 0, F.col("s_name")).when(k % 3 == 1, k.cast("string")).otherwise((k % 2).cast("string"))
+    scalars = feeds.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s:"), k).alias("path"), value.alias("value"), kind.alias("value_type"), F.lit(None).cast("string").alias("data"))
+    lists = feeds.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(F.collect_list("n_name")).alias("data"))
+    lists = lists.select(F.concat(F.lit("n:"), F.col("n_regionkey")).alias("path"), F.lit(None).cast("string").alias("value"), F.lit("list").alias("value_type"), "data")
+    folder = scratch(spark, "snapshot")
+    for _ in range(2):  # the second one takes the place of the first
+        sinks.write_snapshot(scalars.union(lists).withColumn("is_tombstone", F.lit(False)).withColumn("clk", F.lit(1).cast("long")), folder)
+    return feeds.decode_values(feeds.read_snapshot(spark, folder, AS_OF)).select("path", "as_string", "as_int", "as_bool", F.size("items").cast("long").alias("n_items"))
+
+
+# access files ----------------------------------------------------------------
+ACL_LINES = ("# made up", "user ops on >pier9 +@all", "user desk on >lamp +get +SET +DEL -del ~users:1* ~desk:*", "user gone off >x +@all", "user all on +@all -@all +GET", "user wiped on >q +GET ~a* reset on +SET")
+
+
+@query("""WITH r AS (SELECT event_id AS ord, ['ops', 'desk', 'gone', 'all', 'wiped', 'nobody'][CAST(user_id % 6 + 1 AS INTEGER)] AS usr, CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'SET' ELSE 'DEL' END AS cmd, 'users:' || CAST(user_id AS VARCHAR) AS key FROM events)
+SELECT ord, CASE usr WHEN 'ops' THEN true WHEN 'desk' THEN cmd IN ('GET', 'SET') AND key LIKE 'users:1%' WHEN 'all' THEN cmd = 'GET' WHEN 'wiped' THEN cmd = 'SET' ELSE false END AS allowed, usr IN ('ops', 'desk') AND ord % 2 = 0 AS known FROM r""")
+def acl_file_decision(spark, sf_dir):
+    folder = scratch(spark, "acl")
+    spark.createDataFrame([(x,) for x in ACL_LINES], "value string").coalesce(1).write.text(folder)
+    users = feeds.read_acl(spark, folder)
+    e, u = F.col("event_type"), F.get(F.array(*map(F.lit, ("ops", "desk", "gone", "all", "wiped", "nobody"))), (F.col("user_id") % 6).cast("int"))
+    right = F.when(u == "ops", "pier9").when(u == "desk", "lamp").when(u == "gone", "x").otherwise("q")
+    asked = feeds.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("ord"), u.alias("user"), F.when(e == "view", "GET").when(e == "click", "SET").otherwise("DEL").alias("cmd"), F.concat(F.lit("users:"), F.col("user_id")).alias("key"),
+        F.when(F.col("event_id") % 2 == 0, right).otherwise("wrong").alias("password"),
+    )
+    return L.authenticate(L.authorise(asked, users), users).select("ord", "allowed", "known")
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'user:1:name' ELSE 'misc:x:y' END AS path, ['deductive', 'inductive', 'abductive', 'intuitive'][CAST(c_custkey % 4 + 1 AS INTEGER)] AS mode FROM customer)
+SELECT id FROM p WHERE path = 'misc:x:y' OR mode = 'deductive'""")
+def policy_enforced(spark, sf_dir):
+    k = F.col("c_custkey")
+    asked = feeds.table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 2 == 0, "user:1:name").otherwise("misc:x:y").alias("path"), F.get(F.array(*map(F.lit, L.MODES)), (k % 4).cast("int")).alias("mode"))
+    return L.enforce(asked, RULES).select("id")
+
+
 # round trips, streams, functions beyond SQL ---------------------------------
 @query(f"WITH {FRONTIER} SELECT path, value, clk AS clock FROM frontier WHERE NOT is_tombstone AND (expires_at IS NULL OR expires_at >= TIMESTAMP '{AS_OF}')")
 def snapshot_roundtrip(spark, sf_dir):
@@ -713,17 +910,17 @@ def stream_frontier(spark, sf_dir):
 
 @query(f"WITH {CHANGES} SELECT epoch_us(date_trunc('hour', expires_at)) AS hour_us, count(*) AS n FROM changes WHERE expires_at IS NOT NULL GROUP BY 1")
 def stream_expiry(spark, sf_dir):
-    """How many versions expire in each hour, counted by a stream on the deadlines as event time."""
+    """How many versions expire in each hour, counted by a stream with the commit as event time."""
     from causalframe.streaming.fold import expire_stream
 
     stream = spark.readStream.schema(feeds.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     days = (1 + F.col("clk") % 14).cast("int")
     feed = feeds.event_changes(stream).withColumn("expires_at", F.when(F.col("clk") % 3 != 0, F.col("commit_ts") + F.make_dt_interval(days)))
-    counts = expire_stream(feed, "1 day").select(micros("window.start").alias("hour_us"), "n")
+    counts = expire_stream(feed, "1 day").select(micros("committed.start").alias("day_us"), micros("hour").alias("hour_us"), "n")
     folder = scratch(spark, "expiry")
     write = counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(folder))
     write.option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(folder)
+    return spark.read.parquet(folder).groupBy("hour_us").agg(F.sum("n").alias("n"))
 
 
 @query()
@@ -740,7 +937,7 @@ def xx64_seed0(spark, sf_dir):
     return A.live(frontier(spark, sf_dir)).select("path", xxhash64_seed0("path").alias("hash"))
 
 
-@query()
+@query("""SELECT c_custkey AS id, '"v' || CAST(c_custkey AS VARCHAR) || '"' AS normal FROM customer""")
 def ski_reduce(spark, sf_dir):
     from causalframe.functions.combinators import reduce_ski
 

@@ -8,12 +8,13 @@ from causalframe.functions.paths import version_id
 
 
 def latest(changes: DataFrame, key: str = "path", clock: str = "clk") -> DataFrame:
-    """The version with the greatest clock of each path, tombstones included.
+    """The version with the greatest clock of each path, tombstones included; of versions with one clock the one with the
+    greatest hash over its columns, whatever the order of the input.
 
-    One hash aggregate with a partial one before the shuffle: a path with a third of all changes costs one row a task.
+    One aggregate with a partial one before the shuffle: a path with a third of all changes costs one row a task.
     """
     rest = [c for c in changes.columns if c != key]
-    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(clock)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(clock), F.xxhash64(*rest))).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def live(frontier: DataFrame, as_of: Column | None = None) -> DataFrame:

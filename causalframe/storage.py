@@ -50,3 +50,16 @@ def delete(spark: SparkSession, path: str) -> None:
     """Remove a path that scratch() gave, through Hadoop's file systems."""
     p, fs = _fs(spark, path)
     fs.delete(p, True)
+
+
+def swap(spark: SparkSession, new: str, path: str) -> None:
+    """Move a complete folder to `path`; what stood there is moved aside first and then removed."""
+    p, fs = _fs(spark, path)
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    there = fs.exists(p)
+    if there and not fs.rename(p, old):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(_fs(spark, new)[0], p):
+        raise OSError(f"{new} could not be moved to {path}")
+    if there:
+        fs.delete(old, True)

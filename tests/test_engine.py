@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causalframe.functions import combinators, hashing, paths as P
-from causalframe.operators import containers as C, frontier as A, ops as O, policy as L, proof as R
+from causalframe.operators import containers as C, frontier as A, ops as O, policy as L, proof as R, writes as W
 from causalframe.plans import point
 from causalframe.sources import feeds, sinks
 from causalframe.storage import scratch
@@ -249,13 +249,86 @@ def test_point_select(spark):
     assert point.select("SELECT 1 AS one", cells).first().one == 1
 
 
-def test_access_file():
-    users = feeds.parse_acl(["# comment", "", "user app on >secret +GET +SET ~users:* ~profile:*", "user off off nopass allcommands allkeys"])
-    assert users[0]["commands"] == ["GET", "SET"] and users[0]["patterns"] == ["users:*", "profile:*"] and len(users[0]["passwords"][0]) == 64
-    assert users[1] == {"user": "off", "enabled": False, "passwords": None, "commands": ["ALL"], "patterns": ["*"]}
-    for bad in ("who", "user", "user a what"):
+def test_access_file(spark):
+    users = {u["user"]: u for u in feeds.parse_acl([
+        "# comment", "", "user desk on >lamp +get +SET +DEL -del ~users:1* ~x", "user ops on >pier +@all", "user none on +@all -@all nopass", "user wiped on >q +GET ~a reset +SET", "user desk2 off >x", "user desk2 on",
+    ])}
+    assert users["desk"]["commands"] == ["GET", "SET"] and users["desk"]["patterns"] == ["users:1*", "x"] and len(users["desk"]["password_sha256"]) == 64
+    assert users["ops"]["admin"] and not users["none"]["admin"] and users["none"]["password_sha256"] is None
+    assert users["wiped"] == {"user": "wiped", "enabled": False, "admin": False, "commands": ["SET"], "patterns": [], "password_sha256": None}
+    assert users["desk2"]["enabled"] and users["desk2"]["password_sha256"] is None  # a later line replaces an earlier one
+    for bad in ("who", "user", "user a what", "user a +@read", "user a -@read", "user a >", "user a allkeys", "# only a comment", ""):
         with pytest.raises(ValueError):
             feeds.parse_acl([bad])
+    table = spark.createDataFrame([("u", True, False, ["GET"], [], None)], feeds.ACL_SCHEMA)
+    asked = spark.createDataFrame([("u", "get", "any", ""), ("u", "SET", "any", ""), ("v", "GET", None, "p")], "user string, cmd string, key string, password string")
+    assert rows(L.authorise(asked, table), "cmd", "allowed") == [("GET", False), ("SET", False), ("get", True)]
+    assert not any(r.known for r in L.authenticate(asked, table).collect())
+
+
+def test_ties(spark):
+    both = [("a", 1, "x"), ("a", 1, "y")]
+    got = {A.latest(spark.createDataFrame(r, "path string, clk long, value string").repartition(2)).first().value for r in (both, both[::-1])}
+    assert len(got) == 1
+
+
+def test_levels(spark):
+    edges = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "p"), ("q", "a"), ("r", "q"), ("r", "gone"), ("void", "gone"), ("over", "void"), ("c1", "c2"), ("c2", "c1"), ("above", "c1")], "parent string, child string")
+    leaves = spark.createDataFrame([("a", "1", 1), ("b", "2", 1)], "path string, value string, clk long")
+    first = R.compose_levels(edges, leaves)
+    assert rows(first, "parent", "n_fields", "level") == [("p", 2, 1), ("q", 2, 2), ("r", 1, 3)]
+    now = spark.createDataFrame([("a", "1", 1), ("b", "3", 2)], "path string, value string, clk long")
+    again = R.recompute_levels(first, edges, now.where("clk = 2").select(F.col("path").alias("node")), now)
+    assert rows(again) == rows(R.compose_levels(edges, now)) and rows(again) != rows(first)
+    assert rows(R.update(edges, leaves, now.where("clk = 2")), "parent", "record") == [(r.parent, r.record) for r in R.compose_levels(edges, now).where("parent = 'p'").collect()]
+    record = R.records(edges, leaves).where("parent = 'p'")
+    assert record.select(R.field(F.col("record"), "b").alias("x"), R.field(F.col("record"), "none").alias("y")).first() == ("2", None)
+
+
+def test_commands(spark):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=n)
+    made = [("GET", None, None), ("SET", "v", None), ("TTL", None, None), ("EXPIRE", None, 10), ("TTL", None, None), ("PTTL", None, None), ("PERSIST", None, None), ("PERSIST", None, None), ("EXPIRE", None, 0), ("PEXPIRE", None, 0),
+            ("SETEX", "w", 2), ("GET", None, None), ("EXPIRE", None, 1), ("EXISTS", None, None), ("EXPIRE", None, 50), ("DEL", None, None), ("SET", "z", None), ("DEL", None, None), ("DEL", None, None), ("EXISTS", None, None), ("PSETEX", "q", -1)]
+    table = spark.createDataFrame([(i, day(i), "k", c, v, n) for i, (c, v, n) in enumerate(made)], "ord long, at timestamp, path string, cmd string, value string, amount long")
+    got = [r.reply for r in W.run_commands(table).orderBy("ord").collect()]
+    assert got == [None, "OK", "-1", "1", "9", "8000", "1", "0", "0", "ERR invalid expire time", "OK", "w", "0", "0", "0", "0", "OK", "1", "1", "0", "ERR invalid expire time"]
+    assert W.transactions(W.run_commands(table).withColumn("t", F.lit(1)), "t").first().replies[:2] == ["(nil)", "OK"]
+
+
+def test_append_and_sweep(spark):
+    schema = "path string, clk long, is_tombstone boolean, value string, expires_at timestamp"
+    old = spark.createDataFrame([("a", 5, False, "x", None), ("b", 5, False, "x", ts(3)), ("c", 5, False, "x", ts(3))], schema)
+    new = spark.createDataFrame([("a", 4, False, "late", None), ("b", 6, False, "x", ts(3)), ("c", 6, False, "x", ts(4)), ("d", 1, False, "n", None)], schema)
+    assert rows(W.append(old, new), "path", "clk") == [("a", 5), ("b", 5), ("c", 6), ("d", 1)]
+    assert rows(W.append(old, new, guarded=False), "path", "clk") == [("a", 4), ("b", 6), ("c", 6), ("d", 1)]
+    assert rows(W.sweep(old, F.lit(ts(4)), F.col("clk") + 1), "path", "clk", "is_tombstone") == [("b", 6, True), ("c", 6, True)]
+
+
+def test_sinks(spark):
+    folder = scratch(spark, "test")
+    one = spark.createDataFrame([("a", "1")], "path string, value string")
+    sinks.write_report(one, f"{folder}/csv")
+    sinks.write_report(one, f"{folder}/json", "json")
+    assert spark.read.option("header", True).csv(f"{folder}/csv").first() == ("a", "1") and spark.read.json(f"{folder}/json").count() == 1
+    taken = []
+    assert sinks.write_through(one, lambda df: df.select("absent"), lambda df: taken.append(df.count())) == "local" and taken == [1]
+    assert sinks.write_through(one, lambda df: df.count(), lambda df: taken.append(2)) == "both" and taken == [1, 2]
+    assert rows(L.enforce(spark.createDataFrame([("user:1:name", "inductive"), ("z", "inductive")], "path string, mode string"), [("user:*:name", "deductive"), ("*", "intuitive")]), "path") == [("z",)]
+
+
+def test_expiry_stream(spark):
+    """Deadlines of later batches lie before those of earlier ones; none is lost, in update and in append mode."""
+    for mode, extra in (("update", []), ("append", [(ts(20), ts(21))])):
+        folder = scratch(spark, "test")
+        for n, rows_ in enumerate([[(ts(1), ts(31))], [(ts(1, 1), ts(30))], [(ts(1, 2), ts(5))], *([extra] * bool(extra))]):
+            spark.createDataFrame(rows_, "commit_ts timestamp, expires_at timestamp").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        out = {}
+        stream = spark.readStream.schema("commit_ts timestamp, expires_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        from causalframe.streaming.fold import expire_stream
+
+        query = expire_stream(stream, "1 day").writeStream.outputMode(mode).foreachBatch(lambda df, _, out=out: out.update({r.hour: r.n for r in df.collect()}))
+        query.option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+        assert {ts(31), ts(30), ts(5)} <= set(out)
 
 
 def test_snapshot_and_log(spark, changes):
@@ -292,7 +365,15 @@ def test_functions(spark):
     got = df.select("x", hashing.sha3_256("x").alias("s"), hashing.xxhash64_seed0("x").alias("h")).collect()
     assert got[0].s == hashlib.sha3_256(b"abc").hexdigest() and got[0].h == 4952883123889572249 and got[2].s is None and got[2].h is None
     assert got[1].h % (1 << 64) == xxhash.xxh64_intdigest(b"")
-    assert combinators.reduce_term([[["S", "K"], "K"], "x"]) == "x" and combinators.reduce_term([["K", "a"], "b"]) == "a"
-    assert combinators.reduce_term([["f", ["I", "x"]], "y"]) == [["f", "x"], "y"]
-    omega = [["S", "I"], "I"]
-    assert combinators.reduce_term([omega, omega], steps=500) is None
+    normal = lambda text, **k: combinators.reduce_term(combinators.parse_term(text), **k)
+    assert normal('[[["S","K"],"K"],"x"]') == "x" and normal('[["K", "a"], "b"]') == "a" and normal('[["K",["I","I"]],"b"]') == "I"
+    assert combinators.write_term(normal('[["f",["I","x"]],["g","y"]]')) == '[["f","x"],["g","y"]]'
+    omega = '[["S","I"],"I"]'
+    assert normal(f"[{omega},{omega}]", steps=500) is None
+    deep = "[" * 60_000 + '"f"' + ',"x"]' * 60_000
+    inward = '["f",' * 60_000 + '["I","x"]' + "]" * 60_000
+    assert combinators.write_term(normal(deep)) == deep
+    assert combinators.write_term(normal(inward)) == inward.replace('["I","x"]', '"x"')
+    for bad in ("", "[", '["a"]', '["a","b","c"]', '"a" "b"'):
+        with pytest.raises(ValueError):
+            combinators.parse_term(bad)

@@ -355,16 +355,6 @@ def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
     pieces = [b""] * (max(ranks.values()) + 1)
     for word, rank in ranks.items():
         pieces[rank] = word
-    spans, end = [], 0
-    for p in pieces:
-        spans.append(end << 16 | len(p))
-        end += len(p)
-    blob = F.unhex(F.lit(b"".join(pieces).hex()))  # the optimizer folds both to literals
-    named = F.array(F.struct(blob.alias("blob"), F.split(F.lit(",".join(map(str, spans))), ",").cast("array<bigint>").alias("spans")))
-
-    def piece(table: Column, i: Column) -> Column:
-        """A piece as a string of its bytes, valid or not, which array_join puts together as they are."""
-        span = F.get(table["spans"], i)
-        return F.substring(table["blob"], F.shiftright(span, 16).cast("int") + 1, span.bitwiseAND(65535).cast("int")).cast("string")
-
-    return F.get(F.transform(named, lambda table: F.array_join(F.transform(ids, lambda i: piece(table, i)), "")), F.lit(0)).cast("binary")
+    # one literal: the pieces as strings of their bytes, valid or not, which array_join puts together as they are
+    table = F.expr("cast(array(" + ",".join(f"X'{p.hex()}'" for p in pieces) + ") AS array<string>)")
+    return F.get(F.transform(F.array(table), lambda named: F.array_join(F.transform(ids, lambda i: F.get(named, i)), "")), F.lit(0)).cast("binary")

@@ -12,8 +12,8 @@ from causalframe.llm.shingles import Shingler, class_key, need_alone, shared_shi
 
 #: Which representatives' sets are read again is told to the tasks as a bit for each hash bucket of ids.
 ID_BUCKETS = 1 << 20
-#: Rounds in which classes are paired with list heads before the lists are scanned.
-STAR_TURNS = 2
+#: Heads that a list gets by different random orders before the lists are scanned.
+HEADS = 2
 #: Looking at one pair costs about as much as writing this many rows.
 PAIR_COST = 32
 #: Sets of up to so many members may be light.
@@ -74,11 +74,10 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
        their shared shingles. Sets that share a subset as large as their sizes need link, and whoever links within such a
        group also links with its smallest set, so each set is paired with that one alone.
     3. Heavy classes, and light ones whose partner may be heavy, write their rarest shared shingles to inverted lists:
-       linked sets share one of them, in lists of sets of like sizes. In STAR_TURNS rounds each class is paired with the
-       list heads, by random order, that it meets most; the verified ones give components. Then the lists are scanned for
-       pairs of different components that pass the length, positional and bitmap bounds: what lies outside a list's most
-       frequent component, with all of the list. The rounds take the squares out of groups of near copies; the scan
-       loses no link.
+       linked sets share one of them, in lists of sets of like sizes. For each of HEADS random orders a class is paired
+       with the list head that it meets most; the verified pairs give components. Then the lists are scanned for pairs of
+       different components that pass the length, positional and bitmap bounds: what lies outside a list's most frequent
+       component, with all of the list. The heads take the squares out of groups of near copies; the scan loses no link.
     4. Pairs are verified on whole sets; components follow from the links. A set that many are compared with is sent
        about once for HEAD_PAIRS of them, so that no task gets all its pairs.
 
@@ -127,10 +126,13 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             if out:
                 yield listed(out)
 
-    light = tables.keep(classes.where(F.col("n") <= top).select("num", "n", "shingles").mapInArrow(subsets, "token long, kind int, num long, n int"))
-    least = tables.keep(light.groupBy("token", "kind").agg(F.min(F.struct("n", "num")).alias("head"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    met = light.join(least, ["token", "kind"]).where((F.col("num") != F.col("head.num")) & ((100 + percent) * -F.col("kind") >= percent * (F.col("n") + F.col("head.n"))))
-    light_pairs = met.select("num", F.col("head.num").alias("head"))
+    light_pairs = None
+    if top:
+        light = tables.keep(classes.where(F.col("n") <= top).select("num", "n", "shingles").mapInArrow(subsets, "token long, kind int, num long, n int"))
+        least = tables.keep(light.groupBy("token", "kind").agg(F.min(F.struct("n", "num")).alias("head"), F.count("*").alias("c")).where("c > 1").drop("c"))
+        met = light.join(least, ["token", "kind"]).where((F.col("num") != F.col("head.num")) & ((100 + percent) * -F.col("kind") >= percent * (F.col("n") + F.col("head.n"))))
+        light_pairs = tables.keep(met.select("num", F.col("head.num").alias("head")).distinct())
+        tables.drop(light, least)
 
     heavy = classes.where((F.col("n") > top) | (100 * F.col("n") >= percent * (top + 1))).select("num", "n", "unshared", F.posexplode(prefix).alias("at", "token"))
     # sets that link lie in the same or in neighbouring classes of sizes, so they meet in a list of two neighbouring classes
@@ -140,8 +142,10 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     placed = tables.keep(sized.join(full, ["token", "g"]))
 
     # the sets of the classes that some list or pair holds, read again from one of their texts
-    some = placed.select("num").union(light_pairs.select("num")).union(light_pairs.select("head")).distinct()
-    wanted = tables.keep(classes.join(some, "num").select("num", "class", "some_id"))
+    some = placed.select("num")
+    if light_pairs is not None:
+        some = some.union(light_pairs.select("num")).union(light_pairs.select("head"))
+    wanted = tables.keep(classes.join(some.distinct(), "num").select("num", "class", "some_id"))
     at = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int")
     bits = np.zeros(ID_BUCKETS, np.uint8)
     bits[wanted.select(F.col("some_id").alias("id")).select(at.alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = 1
@@ -159,8 +163,9 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays(columns, ["class", "members", "bits"])
 
     read = asked.mapInArrow(sets, "class binary, members binary, bits array<bigint>").join(wanted.select("class", "num"), "class")
-    store = tables.keep(read.groupBy("num").agg(F.first("members").alias("members"), F.first("bits").alias("bits")))
-    sizes = tables.keep(store.select("num", F.expr("cast(octet_length(members) / 8 as int)").alias("n"), "bits"))
+    whole_sets = read.groupBy("num").agg(F.first(F.struct("members", "bits")).alias("s")).select("num", "s.*")
+    store = tables.keep(whole_sets.withColumn("n", F.expr("cast(octet_length(members) div 8 as int)")))
+    sizes = store.select("num", "n", "bits")
 
     def apart(x, y):
         return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
@@ -196,33 +201,20 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         tables.drop(may, heads)
         return out
 
-    def stars(lists: DataFrame, seeds) -> DataFrame:
-        """For each class and seed the list head of another component that it meets most."""
-        out = None
-        for seed in seeds:
-            heads = tables.keep(lists.groupBy("token", "g").agg(F.min_by(F.struct("num", "n", "root"), F.xxhash64("num", F.lit(seed))).alias("head")))
-            met = lists.join(heads, ["token", "g"]).where((F.col("root") != F.col("head.root")) & (percent * F.greatest("n", "head.n") <= 100 * F.least("n", "head.n")))
-            most = met.groupBy("num", F.col("head.num").alias("head")).agg(F.count("*").alias("c")).groupBy("num").agg(F.max_by("head", F.struct("c", "head")).alias("head"))
-            out = most if out is None else out.union(most)
-        return out
-
-    def mixed(links: DataFrame | None) -> DataFrame:
-        """The lists that hold more than one component, with each class's component."""
-        if links is None:
-            return tables.keep(placed.withColumn("root", F.col("num")))
-        roots = tables.keep(components(links, rounds=2).withColumnRenamed("node", "num"))
-        rooted = placed.join(roots, "num", "left").withColumn("root", F.coalesce("root", "num"))
-        several = tables.keep(rooted.groupBy("token", "g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "g"))
-        return tables.keep(rooted.join(several, ["token", "g"]))
-
-    links = None
-    for turn in range(STAR_TURNS):
-        lists = mixed(links)
-        pairs = stars(lists, range(2 * turn, 2 * turn + 2))
-        new = verified(pairs.union(light_pairs) if turn == 0 else pairs)
-        links = new if links is None else links.union(new)
-        tables.drop(lists)
-    lists = mixed(links)
+    # for each class and order the list head that it meets most
+    orders = [F.min_by(F.struct("num", "n"), F.xxhash64("num", F.lit(k))) for k in range(HEADS)]
+    heads = tables.keep(placed.groupBy("token", "g").agg(F.array(*orders).alias("heads")))
+    met = placed.join(heads, ["token", "g"]).select("num", "n", F.posexplode("heads").alias("order", "head"))
+    met = met.where((F.col("num") != F.col("head.num")) & (percent * F.greatest("n", "head.n") <= 100 * F.least("n", "head.n")))
+    most = met.groupBy("num", "order", F.col("head.num").alias("head")).agg(F.count("*").alias("c")).groupBy("num", "order").agg(F.max_by("head", F.struct("c", "head")).alias("head"))
+    pairs = most.select("num", "head")
+    links = verified(pairs if light_pairs is None else pairs.union(light_pairs))
+
+    # the lists that hold more than one component, with each class's component
+    roots = tables.keep(components(links, rounds=2).withColumnRenamed("node", "num"))
+    rooted = tables.keep(placed.join(roots, "num", "left").withColumn("root", F.coalesce("root", "num")))
+    several = rooted.groupBy("token", "g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "g")
+    lists = tables.keep(rooted.join(tables.keep(several), ["token", "g"]))
     counted = lists.groupBy("token", "g", "root").agg(F.count("*").alias("c"))
     largest = tables.keep(counted.groupBy("token", "g").agg(F.max_by("root", F.struct("c", "root")).alias("largest")))
     scanned = tables.keep(lists.join(largest, ["token", "g"]).join(sizes.select("num", "bits"), "num"))
@@ -239,7 +231,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     roots = tables.keep(components(links).withColumnRenamed("node", "num"))
     linked = classes.select("num", "class", "least_id").join(roots, "num")
     lowest = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    told = tables.keep(linked.join(lowest, "root").select("class", "component_id"))
+    told = linked.join(lowest, "root").select("class", "component_id")
     answers = tables.keep(least_ids.join(told, "class", "left").select("class", F.coalesce("component_id", "least_id").alias("component_id")))
     out = known.select("id", "n", "class").join(answers, "class", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A chunk is what a task deals out at a time: about so many shingles, of at most so many sets.
-CHUNK_SHINGLES, CHUNK_SETS = 2_000_000, 50_000
+CHUNK_SHINGLES, CHUNK_SETS = 1_000_000, 2_000
 #: A block is a range of shingle hashes, met in one task: about those of so many bytes of text.
 BLOCK_BYTES = 8_000_000
 #: Shingles that stand in more sets of a chunk are counted there and sent once.
@@ -112,7 +112,7 @@ def shared_shingles(rows: DataFrame, *, width: int, percent: int, small: int) ->
         from pyspark import TaskContext
 
         shingler, seen = Shingler(width), set()
-        chunk, sets, held, id_arrow = TaskContext.get().partitionId() << 32, [], 0, None
+        chunk, sets, held, others = TaskContext.get().partitionId() << 32, [], 0, 0
         import pyarrow as pa
 
         for b in batches:
@@ -133,8 +133,10 @@ def shared_shingles(rows: DataFrame, *, width: int, percent: int, small: int) ->
                         held += len(members)
                     else:
                         no.append(-1)
-                many = len(n)
-                yield batch(id_arrow, key=[-1 - chunk] * many, chunk=[chunk] * many, kind=[DOCUMENT] * many, id=part.column(0), n=n, no=no, **{"class": keys})
+                # copies wait for no answer: those of a slice are a chunk of their own
+                others += 1
+                chunks = [chunk if k >= 0 else (chunk | 1 << 31) + others for k in no]
+                yield batch(id_arrow, key=[-1 - c for c in chunks], chunk=chunks, kind=[DOCUMENT] * len(n), id=part.column(0), n=n, no=no, **{"class": keys})
                 if held >= CHUNK_SHINGLES or len(sets) >= CHUNK_SETS:
                     yield from asked(sets, chunk, id_arrow)
                     sets, held, chunk = [], 0, chunk + 1

@@ -40,9 +40,9 @@ def both_share(alpha: float, dim: int, cosine: float) -> float:
 
 
 def plan(vectors: int, dim: int, cosine: float, miss: float) -> tuple[int, float]:
-    """(codewords of each half, alpha): as many filters as vectors, within bounds, and the highest cap at which two vectors of
+    """(codewords of each half, alpha): as many filters as vectors, up to the 2^31 that a number of 32 bits can name, and the highest cap at which two vectors of
     the threshold cosine share ln(1 / miss) filters on average, so that a link is missed with probability about `miss`."""
-    words = max(32, min(2048, math.ceil(math.sqrt(max(1, vectors)))))
+    words = max(32, min(46_000, math.ceil(math.sqrt(max(1, vectors)))))
     low, high = 0.0, 0.95
     for _ in range(40):
         mid = (low + high) / 2

@@ -37,9 +37,9 @@ def cut_words(text: bytes) -> list[bytes]:
     """Pieces between ASCII white space, for tokenizers that drop white space and case.
 
     A-Z is lower-cased here unless the text holds combining marks, which can join a capital and its small letter to
-    different characters before the tokenizer lower-cases them.
+    different characters before the tokenizer lower-cases them, or what may begin a special token's string.
     """
-    return (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
+    return (text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()).split()
 
 
 #: A letter or digit, at the end of a piece: ASCII, or Latin-1 letters.
@@ -53,14 +53,18 @@ def without_tail(piece: bytes) -> bytes:
 
 
 class PieceEncoder:
-    """ids of whole texts as little-endian unsigned 32-bit integers; remembers up to `most` pieces."""
+    """ids of whole texts as little-endian unsigned 32-bit integers; remembers up to `most` pieces.
 
-    def __init__(self, tokenizer_path: str, spaced: bool, most: int = 1_000_000):
+    A special token's string in a text gives its id, as the library does by default; with plain_specials it is ordinary text.
+    Such strings must not hold white space.
+    """
+
+    def __init__(self, tokenizer_path: str, spaced: bool, plain_specials: bool = False, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
         self.cut = cut_spaced if spaced else cut_words
         self.known: dict[bytes, bytes] = {}
         self.most = most
@@ -83,9 +87,9 @@ class PieceEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def shared_encoder(tokenizer_path: str, spaced: bool) -> PieceEncoder:
+def shared_encoder(tokenizer_path: str, spaced: bool, plain_specials: bool = False) -> PieceEncoder:
     """One encoder for all tasks of a Python worker, which so remembers pieces between them."""
-    return PieceEncoder(tokenizer_path, spaced)
+    return PieceEncoder(tokenizer_path, spaced, plain_specials)
 
 
 def text_batches(batch, id_col: int, text_col: int, most_bytes: int = 4_000_000):

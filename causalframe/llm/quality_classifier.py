@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 if TYPE_CHECKING:
     import numpy as np
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -> Model
     """Fit on at most per_class labelled documents of each class, those with the least hash of their id.
 
     Only labels of 0 or 1 outside the held-out fold count, and only ids whose labels agree. The chosen ids, at most
-    2 * per_class, are broadcast; the driver gets their features. As a class beyond per_class is thinned, the offset is
+    2 * per_class, are broadcast; the driver gets the features of one row of each: of the text with the least hash. As a class beyond per_class is thinned, the offset is
     moved by the log of the shares taken, so that scores follow the classes' frequency among all these labels.
     """
     import math
@@ -181,8 +181,11 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -> Model
 
     import numpy as np
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int"))
-    got = sorted((r["doc_id"], bytes(r["features"]), r["label"]) for r in picked.mapInArrow(run, "doc_id long, features binary, label int").collect())
+    own, theirs = docs.select(F.col("doc_id").cast("string"), "text"), chosen.select(F.col("doc_id").cast("string"), F.col("label").cast("int"))
+    rows = own.join(F.broadcast(theirs), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.coalesce(F.xxhash64("text"), F.lit(0))).alias("r"))
+    picked = rows.select("doc_id", "r.text", "r.label").mapInArrow(run, "doc_id string, features binary, label int").collect()
+    got = sorted((len(r["doc_id"]), r["doc_id"], bytes(r["features"]), r["label"]) for r in picked)
+    got = [x[1:] for x in got]
     model = fit([np.frombuffer(f, np.int32) for _, f, _ in got], [y for _, _, y in got])
     if len({y for _, _, y in got}) == 2:
         taken = {r["label"]: r["count"] / min(r["count"], per_class) for r in agreed.groupBy("label").count().collect()}
@@ -195,10 +198,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, thres
 
     score (0 to 1) depends on the whole text alone; predicted is 1 from `threshold` on. held_out marks the fold that
     training never sees. A null or empty text is scored as a text without n-grams. A null id is not held out. Repeated
-    rows are kept; a column of the input named like a result is replaced.
+    rows are kept; a column of the input named like a result, in any case of letters, is replaced. Ids may be of any type
+    that casts to text. An empty table gives an empty one.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class=per_class))
-    own = [f for f in docs.schema.fields if f.name not in ("held_out", "score", "predicted")]
+    own = [f for f in docs.schema.fields if f.name.lower() not in ("held_out", "score", "predicted")]
     at = [f.name for f in own].index("text")
 
     def run(batches):
@@ -209,7 +213,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, thres
             scores = [m.score(features.of(t)) for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*(f.name for f in own), "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "score double"])
+    schema = T.StructType([*own, T.StructField("score", T.DoubleType())])
     scored = docs.select(*[F.col(f"`{f.name}`") for f in own]).mapInArrow(run, schema)
     names = [F.col(f"`{f.name}`") for f in own]
     return scored.select(*names, F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -86,7 +86,7 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", thresholds=THRESHO
     base_failed: fewer than least_words words, or more than most_repeated percent of them in repeated windows. kept:
     not base_failed and every threshold holds. Whole texts are measured in one projection; nothing is shuffled.
     A null text counts as an empty one, which base_failed rejects. Repeated rows are kept. Columns of the input with the
-    name of a result column are replaced.
+    name of a result column, in any case of letters, are replaced. An empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -106,7 +106,7 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", thresholds=THRESHO
     ))))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_alpha_words", "n_same_words"]
     added = [*names, "base_failed", "failed_rules", "kept"]
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
 
     def ratio(over: str, under: str) -> Column:
         return F.when(F.col(under) > 0, F.col(over) / F.col(under)).otherwise(F.lit(0.0))

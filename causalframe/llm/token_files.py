@@ -18,13 +18,14 @@ from causalframe.llm.pieces import shared_encoder, text_batches
 def _open(folder: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder)
+    scheme, sep, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if sep and scheme in ("s3a", "s3n") else folder)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None) -> dict:
     """Encode every whole text, append end_id, and write the ids in ascending order of the id column; returns the manifest.
 
-    Rows are dealt by ranges of (id, hash of the text) and sorted within each, so a third of all rows may have one id.
+    Rows are dealt by ranges of (id, hash of the text, place) and sorted within each, so a third of all rows may be equal.
     Each task streams its ids to files of its own name; the driver gets one row of counts for each partition and turns
     them into bases by prefix sums. Null ids come first, null texts are empty documents (end_id alone), repeated rows
     are kept, other columns are ignored, an empty table gives a manifest without documents.
@@ -62,8 +63,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, id_c
             out.write(np.concatenate(keys_out).astype("<i8").tobytes())
         yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "docs": [len(sizes) - 1], "nulls": [nulls], "tokens": [int(sizes.sum())]})
 
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must hold whole numbers: the files keep ids of 64 bits")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keys = [F.col("id"), F.xxhash64("text")]
+    rows = rows.withColumn("nth", F.monotonically_increasing_id())
+    keys = [F.col("id"), F.xxhash64("text"), F.col("nth")]
     dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     counts = dealt.sortWithinPartitions(*keys).mapInArrow(run, "part long, name string, docs long, nulls long, tokens long").collect()
     parts, first_doc, first_token = [], 0, 0

@@ -93,11 +93,11 @@ def filter_urls(pages: DataFrame, *, url_col: str = "url", rules=RULES) -> DataF
     where a class is missing. The driver holds the 32^3 ratios and two rows of statistics, whatever the input.
 
     Null URLs and those without :// have empty host and path and are scored as empty texts. Repeated rows are kept; an
-    input's columns with the name of a result column are replaced.
+    input's columns with the name of a result column, in any case of letters, are replaced. An empty table gives an empty one.
     """
     verdicts = {rule: verdict for verdict, rule in rules}
     added = ["host", "path", "rule", "verdict", "url_score"]
-    own = [F.col(f"`{c}`") for c in pages.columns if c not in added]
+    own = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in added]
     host, path = split_url(F.col(url_col))
     judged = pages.select(*own, host.alias("host"), path.alias("path")).withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     text = F.concat("host", "path")

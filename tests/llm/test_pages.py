@@ -136,3 +136,13 @@ def test_extract(spark):
     none = spark.createDataFrame([(1, None, "t"), (2, "plain words alone", "t")], "page_id long, html string, text string")
     assert {r.page_id: r.text for r in html_text.extract_text(none).collect()} == {1: "", 2: "plain words alone"}
     assert html_text.extract_text(none.where("false")).count() == 0
+
+
+def test_clashing_names(spark):
+    from causalframe.llm.url_filter import filter_urls
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "http://a.example.net/en/x", "mine")], "page_id long, url string, HOST string").withColumn("Verdict", F.lit(3))
+    out = filter_urls(pages)
+    assert set(out.columns) == {"page_id", "url", "host", "path", "rule", "verdict", "url_score"}
+    assert out.first().host == "a.example.net" and out.first().rule == "example.net/en/"

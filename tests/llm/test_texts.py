@@ -136,3 +136,54 @@ def test_descent_on_separable():
         labels.append(y)
     m = quality_classifier.fit(rows, labels)
     assert all((m.score(f) >= 0.5) == bool(y) for f, y in zip(rows, labels))
+
+
+def test_ratios_and_descent_by_hand():
+    """Class log-count ratios by plain counting, and the dual's optimality conditions at the found solution."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, 12)).astype(np.int32) for _ in range(60)]
+    labels = [int((f < 15).mean() + rng.normal(0, 0.15) > 0.4) for f in rows]
+    ratios = quality_classifier._ratios(rows, labels)
+    sums = {y: [1 + sum(k in f for f, z in zip(rows, labels) if z == y) for k in range(40)] for y in (0, 1)}
+    rest = quality_classifier.BUCKETS - 40
+    for k in range(40):
+        want = math.log(sums[1][k] / (sum(sums[1]) + rest)) - math.log(sums[0][k] / (sum(sums[0]) + rest))
+        assert ratios[k] == pytest.approx(want)
+    weights, bias = quality_classifier._descend(rows, labels, ratios, 1.0, 2000, 7)
+    scaled = np.zeros((60, 41))
+    for i, f in enumerate(rows):
+        scaled[i, f] = ratios[f] / len(f) ** 0.5
+    scaled[:, 40] = 1
+    sign = np.where(np.array(labels) == 1, 1.0, -1.0)
+
+    def loss(w):
+        return 0.5 * w @ w + np.maximum(0, 1 - sign * (scaled @ w)).sum()
+
+    found = np.append(np.divide(weights[:40], ratios[:40], out=np.zeros(40), where=ratios[:40] != 0), bias)
+    plain = np.zeros(41)  # subgradient descent from elsewhere comes no lower
+    for step in range(1, 20_001):
+        wrong = sign * (scaled @ plain) < 1
+        plain -= (plain - (sign[wrong, None] * scaled[wrong]).sum(0)) / step
+    assert loss(found) <= loss(plain) + 1e-2 * loss(plain)
+
+
+def test_clashing_names_and_ids(spark, docs):
+    from pyspark.sql import functions as F
+
+    odd = docs.withColumn("SCORE", F.lit("x")).withColumn("Kept", F.lit("y")).withColumn("n_Words", F.lit("z")).withColumn("Predicted", F.lit(1.5))
+    judged = quality_rules.quality_rules(odd)
+    assert {"kept", "n_words"} <= set(judged.columns) and not {"Kept", "n_Words"} & set(judged.columns) and judged.count() == docs.count()
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {str(r.doc_id): r.score for r in quality_classifier.classify(table, labels, per_class=60).collect()}
+    text_ids = quality_classifier.classify(table.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("SCORE", F.lit("x")), labels.withColumn("doc_id", F.col("doc_id").cast("string")), per_class=60)
+    assert set(text_ids.columns) >= {"score", "predicted"} and "SCORE" not in text_ids.columns
+    small = quality_classifier.classify(table.withColumn("doc_id", F.col("doc_id").cast("int")), labels, per_class=60)
+    assert {str(r.doc_id): r.score for r in small.collect()} == pytest.approx(want)
+    many = table.union(table).union(table)  # repeated labelled ids give the driver one row each
+    assert {str(r.doc_id): r.score for r in quality_classifier.classify(many, labels, per_class=60).collect()} == pytest.approx(want)
+    assert text_ids.count() == len(want)

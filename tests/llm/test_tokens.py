@@ -16,7 +16,6 @@ SF = "/root/testdata/sf0.001"
 
 def library_ids(name, texts, end):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return [[*e.ids, end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -111,6 +110,39 @@ def test_byte_bpe(spark, docs, texts, edge):
     assert sorted(hashlib.sha256(bytes(r.back)).hexdigest() for r in got) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t in source)
 
 
+def test_special_strings():
+    """By default the library's own reading of special tokens' strings; with plain_specials they are ordinary text."""
+    from causalframe.llm.pieces import PieceEncoder
+
+    made = ["a<|endoftext|>b", "x <|endoftext|> y.", "<|endoftext|>", "<|ENDOFTEXT|> A<|endoftext|>, <|startoftext|>Z", "two\n<|endoftext|>\n\nlines  <|endoftext|>"]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        for plain in (False, True):
+            t = Tokenizer.from_file(P.path(name))
+            t.encode_special_tokens = plain
+            got = PieceEncoder(P.path(name), spaced, plain).encode([x.encode() for x in made])
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in made]
+
+
+def test_equal_rows_and_ids(spark):
+    folder = scratch(spark, "test")
+    equal = spark.range(4000).selectExpr("cast(7 as int) as doc_id", "'the same text' as text")
+    manifest = token_files.write_token_files(equal, folder, P.path("byte_bpe_50k.json"), partitions=4)
+    assert manifest["documents"] == 4000 and max(p["docs"] for p in manifest["parts"]) < 2000
+    assert token_files.read_token_files(spark, folder).count() == 4000
+    with pytest.raises(TypeError):
+        token_files.write_token_files(equal.selectExpr("cast(doc_id as string) as doc_id", "text"), folder, P.path("byte_bpe_50k.json"))
+
+
+def test_common_words_with_high_ids(spark):
+    """Words of several blocks whose ids lie beyond 32767."""
+    ranks = byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    word = next(w.decode() for w, r in sorted(ranks.items()) if r > 49_000 and w.decode("utf-8", "replace").strip().isalpha() and w[:1] == b" ")
+    rows = spark.createDataFrame([(i, f"{word} n{i} " * 40) for i in range(60)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: list(r.ids) for r in byte_bpe.encode_texts(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, block_bytes=2000).collect()}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert got == {i: library.encode_ordinary(f"{word} n{i} " * 40) for i in range(60)}
+
+
 def test_empty_table(spark, docs):
     none = docs.where("false")
     assert packing.pack_documents(none, P.path("word_bpe_49k.json")).count() == 0

@@ -726,23 +726,20 @@ def incremental_nested(spark, sf_dir):
     return R.recompute_levels(results, edges, new.where("clk = 2").select(F.col("path").alias("node")), new)
 
 
-def stored_state(spark, sf_dir):
-    """What a running engine has stored: the edges and the first state of the cells."""
-    return written(_edges(spark, sf_dir), "edges"), written(_cells(spark, sf_dir, NEVER).drop("parent"), "cells")
-
+LATELY = "2001-11-01 00:00:00"
 
-LATELY = "1998-11-01 00:00:00"
 
-
-def update_after(spark, sf_dir, state):
-    """The results that the changes since LATELY make anew, from a stored state."""
-    changed = _cells(spark, sf_dir, LATELY).where("clk = 2").select("path", "value", "clk")
-    return R.update(*state, changed)
+def stored_state(spark, sf_dir):
+    """What a running engine holds when a batch comes: the edges, the first state of the cells, and the batch itself (the
+    cells changed since LATELY)."""
+    batch = _cells(spark, sf_dir, LATELY).where("clk = 2").select("path", "value", "clk")
+    return written(_edges(spark, sf_dir), "edges"), written(_cells(spark, sf_dir, NEVER).drop("parent"), "cells"), written(batch, "batch")
 
 
 @query(f"WITH {CELLS.format(since=LATELY)} SELECT * FROM ({COMPOSE}) WHERE parent IN (SELECT parent FROM cells WHERE clk = 2)")
 def incremental_update(spark, sf_dir):
-    return update_after(spark, sf_dir, stored_state(spark, sf_dir))
+    """The results that a batch of changes makes anew."""
+    return R.update(*stored_state(spark, sf_dir))
 
 
 @query(f"""WITH {FRONTIER}, asked AS (SELECT DISTINCT user_id // 10 AS key, 'users:' || CAST(user_id + user_id % 2 * 1000000 AS VARCHAR) || ':value' AS path FROM events), h AS (SELECT key, coalesce(CASE WHEN f.path IS NOT NULL THEN sha256(f.path || chr(31) || CAST(f.clk AS VARCHAR) || chr(31) || coalesce(f.value, '')) END, repeat('0', 64)) AS hash FROM asked LEFT JOIN frontier f ON asked.path = f.path)

@@ -46,8 +46,19 @@ def normalised(index: int, size: Column) -> Column:
     return F.lit(index).cast("long") if index >= 0 else size + index
 
 
+def from_end(items: DataFrame) -> DataFrame:
+    """Items with `back`, their position from the right, 0 for the last one. A limit on it reaches the planner, which keeps
+    as many rows of each key before the shuffle."""
+    w = Window.partitionBy("key").orderBy(F.col("pos").desc())
+    return items.withColumn("back", (F.row_number().over(w) - 1).cast("long"))
+
+
 def list_range(items: DataFrame, start: int, stop: int) -> DataFrame:
     """Items (key, pos, v) between two indices, both included; negative ones count from the right."""
+    if start < 0 and stop < 0:
+        return from_end(items).where((F.col("back") <= -1 - start) & (F.col("back") >= -1 - stop)).drop("back")
+    if start >= 0 and stop >= 0:
+        return items.where(F.col("pos").between(start, stop))
     size = items.groupBy("key").agg(F.count("*").alias("_n"))
     low = F.greatest(normalised(start, F.col("_n")), F.lit(0))
     return items.join(size, "key").where((F.col("pos") >= low) & (F.col("pos") <= normalised(stop, F.col("_n")))).drop("_n")
@@ -59,9 +70,8 @@ def list_index(items: DataFrame, index: int) -> DataFrame:
 
 def list_pop(items: DataFrame, count: int, right: bool = False) -> tuple[DataFrame, DataFrame]:
     """(popped in pop order, what stays) of every list; from the right the last item comes first."""
-    size = items.groupBy("key").agg(F.count("*").alias("_n"))
-    joined = items.join(size, "key").withColumn("ord", F.col("_n") - 1 - F.col("pos") if right else F.col("pos"))
-    return joined.where(F.col("ord") < count).drop("_n"), joined.where(F.col("ord") >= count).drop("_n", "ord")
+    ranked = from_end(items).withColumnRenamed("back", "ord") if right else items.withColumn("ord", F.col("pos"))
+    return ranked.where(F.col("ord") < count), ranked.where(F.col("ord") >= count).drop("ord")
 
 
 def list_positions(pushes: DataFrame, key: str, clock: str, value: str, left: str | None = None) -> DataFrame:
@@ -102,6 +112,11 @@ def rank_range(zset: DataFrame, start: int, stop: int) -> DataFrame:
     ranked = zset.withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
     if start >= 0 and stop >= 0:  # the planner keeps only the first stop + 1 of each key before the shuffle
         return ranked.where((F.col("rank") >= start) & (F.col("rank") <= stop))
+    if start < 0 and stop < 0:
+        back = Window.partitionBy("key").orderBy(F.col("score").desc(), F.col("member").desc())
+        last = zset.withColumn("_back", (F.row_number().over(back) - 1).cast("long")).where(F.col("_back") <= -1 - start)
+        size = zset.groupBy("key").agg(F.count("*").alias("_n"))
+        return last.where(F.col("_back") >= -1 - stop).join(size, "key").withColumn("rank", F.col("_n") - 1 - F.col("_back")).drop("_back", "_n")
     size = zset.groupBy("key").agg(F.count("*").alias("_n"))
     low = F.greatest(normalised(start, F.col("_n")), F.lit(0))
     return ranked.join(size, "key").where((F.col("rank") >= low) & (F.col("rank") <= normalised(stop, F.col("_n")))).drop("_n")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causalframe.functions import paths as P
+from causalframe.functions import paths as P, values as V
 from causalframe.operators import containers as C, frontier as A, ops as O, policy as L, proof as R, writes as W
 from causalframe.plans import point
 from causalframe.sources import feeds, sinks
@@ -872,6 +872,55 @@ def policy_enforced(spark, sf_dir):
     return L.enforce(asked, RULES).select("id")
 
 
+# values ---------------------------------------------------------------------
+@query("""SELECT event_id AS id, CAST(event_id AS VARCHAR) AS i, CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS f, CASE WHEN event_type = 'view' THEN '1' ELSE '0' END AS b,
+ CASE WHEN event_id % 4 < 2 THEN event_id END AS parsed FROM events""")
+def value_text(spark, sf_dir):
+    """Numbers and truth values as text, and whole numbers from text: with blanks, signed, with a point, with letters."""
+    k = F.col("event_id")
+    text = F.when(k % 4 == 0, F.concat(F.lit("  "), k, F.lit(" "))).when(k % 4 == 1, F.concat(F.lit("+"), k)).when(k % 4 == 2, F.concat(k, F.lit(".5"))).otherwise(F.concat(k, F.lit("x")))
+    return feeds.table(spark, sf_dir, "events").select(k.alias("id"), V.integer_text(k).alias("i"), V.float_text(F.col("value")).alias("f"), V.truth_text(F.col("event_type") == "view").alias("b"), V.parse_integer(text).alias("parsed"))
+
+
+@query("""WITH k AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'list' WHEN 'click' THEN 'set' WHEN 'purchase' THEN 'zset' WHEN 'signup' THEN NULL ELSE 'string' END AS kind, props FROM events)
+SELECT event_id AS id, CASE WHEN kind IS NULL THEN 'none' WHEN kind = 'list' THEN 'list' WHEN kind IN ('set', 'zset') THEN 'hash' ELSE 'string' END AS shape, CAST(220 + octet_length(encode('k' || CAST(event_id AS VARCHAR))) + CASE WHEN kind = 'string' THEN 16 + octet_length(encode(props)) ELSE 16 END AS BIGINT) AS n_bytes FROM k""")
+def value_shapes(spark, sf_dir):
+    e = F.col("event_type")
+    kind = F.when(e == "view", "list").when(e == "click", "set").when(e == "purchase", "zset").when(e == "error", "string")
+    rows = feeds.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), kind.alias("kind"), "props")
+    return rows.select("id", V.shape(F.col("kind")).alias("shape"), V.value_bytes(F.concat(F.lit("k"), F.col("id")), F.col("props"), F.coalesce("kind", F.lit("none"))).alias("n_bytes"))
+
+
+@query("SELECT user_id AS key, event_id AS ord, CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000 ELSE event_id END AS ms, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 5 END AS seq FROM events WHERE event_id % 3 <> 2")
+def stream_add_ids(spark, sf_dir):
+    k = F.col("event_id")
+    asked = F.when(k % 3 == 0, "*").when(k % 3 == 1, F.concat_ws("-", k, k % 5)).otherwise("corrupt-id")
+    adds = feeds.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), k.alias("ord"), F.col("ts").cast("timestamp").alias("at"), asked.alias("asked"))
+    return V.entry_ids(adds).select("key", "ord", "ms", "seq")
+
+
+@query("""WITH a AS (SELECT event_id // 100 AS key, event_id // 10 AS ord, user_id AS member FROM events), f AS (SELECT key, member, min(ord) AS first FROM a GROUP BY ALL)
+SELECT o.key, o.ord, (SELECT count(*) FROM f WHERE f.key = o.key AND f.first = o.ord) AS added FROM (SELECT DISTINCT key, ord FROM a) o""")
+def zset_added(spark, sf_dir):
+    k = F.col("event_id")
+    adds = feeds.table(spark, sf_dir, "events").select(F.floor(k / 100).alias("key"), F.floor(k / 10).alias("ord"), F.col("user_id").alias("member"))
+    return V.added_members(adds)
+
+
+@query(f"WITH {RING.replace(str(list(NODES)), str(list(NODES[:-1])))} SELECT key, node FROM routed")
+def ring_after_leave(spark, sf_dir):
+    keys = feeds.table(spark, sf_dir, "customer").select(F.concat(F.lit("user:"), F.col("c_custkey")).alias("key"))
+    return keys.select("key", O.route(F.col("key"), O.without_node(O.ring(list(NODES)), NODES[-1])).alias("node"))
+
+
+@query(f"WITH {DIFF} SELECT path, state FROM d ORDER BY path LIMIT 50")
+def capped_report(spark, sf_dir):
+    """The first rows of a diff, as a report's cap takes them, written and read back."""
+    folder = scratch(spark, "report")
+    sinks.write_report(O.first_keys(_diff(spark, sf_dir).select("path", "state"), "path", 50), folder)
+    return spark.read.option("header", True).csv(folder)
+
+
 # round trips, streams, functions beyond SQL ---------------------------------
 @query(f"WITH {FRONTIER} SELECT path, value, clk AS clock FROM frontier WHERE NOT is_tombstone AND (expires_at IS NULL OR expires_at >= TIMESTAMP '{AS_OF}')")
 def snapshot_roundtrip(spark, sf_dir):

@@ -45,6 +45,16 @@ def ring(nodes: list[str], virtual: int = 128) -> list[tuple[int, str]]:
     return sorted((int(hashlib.md5(f"{n}#vn#{i}".encode()).hexdigest()[:15], 16), n) for n in nodes for i in range(virtual))
 
 
+def without_node(points: list[tuple[int, str]], node: str) -> list[tuple[int, str]]:
+    """The ring after a node has left; keys of the other nodes stay where they are."""
+    return [p for p in points if p[1] != node]
+
+
+def first_keys(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The first `most` rows in order of a key: a report's cap, taken after the sort."""
+    return rows.orderBy(key).limit(most)
+
+
 def route(key: Column, points: list[tuple[int, str]], bits: int = 10) -> Column:
     """The node of the first point at or after a key's hash, else of the first point at all.
 

@@ -22,20 +22,38 @@ MARKS = frozenset(
 )
 
 
-#: A tag or comment that the page's end cuts off.
-_CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
+#: Further elements, whose tags stand within a line.
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label map mark optgroup option picture q ruby s samp small span strike strong sub sup time tt u var".split())
+_OPEN_TAG = re.compile(r"<(?:([a-zA-Z][a-zA-Z0-9]*)(?:\s*/?|\s+[\w:-]+\s*(?:=[^<>]*|))|/[a-zA-Z][^<>]*|[!?][^<>]*)\Z")
+_NAMES = SKIPPED | BLOCKS | VOID | INLINE
+
+
+def without_cut_tag(html: str) -> str:
+    """The page without a tag or comment that its end cuts off. A `<` after which no element's name stands, alone or with
+    one attribute after the other, is text."""
+    at = html.rfind("<")
+    if at < 0 or ">" in html[at:]:
+        return html
+    m = _OPEN_TAG.match(html, at)
+    if m and (m[1] is None or m[1].lower() in _NAMES and (len(m[0].split()) == 1 or "=" in m[0])):
+        return html[:at]
+    return html[:at] + "&lt;" + html[at + 1 :]
 
 
 class _Reader(HTMLParser):
-    """Lines of a page: (runs of text with their marked elements, tags, path of open containers), streamed from parser events."""
+    """Lines of a page, streamed from parser events: (runs of text, each with the innermost marked element around it; tags;
+    the innermost open container). Elements know the one above them, so that deep nesting costs no more than its tags."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, number of the element, skipped, marked elements from the top to it
-        self.raw: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
-        self.parts: list[tuple[str, tuple[int, ...]]] = []
+        self.open: list[tuple[str, int, bool, int, int]] = []  # tag, number, skipped, innermost marked element, innermost container
+        self.names: dict[str, int] = {}  # open elements by tag
+        self.raw: list[tuple[list[tuple[str, int]], int, int]] = []
+        self.parts: list[tuple[str, int]] = []
         self.sure: dict[int, bool] = {}  # marked element: whether its name consists of marks alone
-        self.articles: list[tuple[int, ...]] = []  # the marked elements around each article or main without marks
+        self.above: dict[int, int] = {0: 0}  # marked element: the marked one around it; 0 is none
+        self.parent: dict[int, int] = {0: 0}  # container: the container around it; 0 is the page
+        self.articles: list[int] = []  # the innermost marked element around each article or main without marks
         self.whole: set[int] = set()  # article and main elements
         self.within = 0  # open article and main elements
         self.tags = self.count = 0
@@ -43,16 +61,20 @@ class _Reader(HTMLParser):
     def end_line(self) -> None:
         if self.parts:
             if any(not data.isspace() for data, _ in self.parts):
-                self.raw.append((self.parts, self.tags, tuple(n for t, n, _, _ in self.open if t in REGIONS)))
+                self.raw.append((self.parts, self.tags, self.open[-1][4] if self.open else 0))
             self.parts = []
         self.tags = 0
 
     def close_to(self, tag: str, stop: frozenset = frozenset()) -> None:
+        if not self.names.get(tag):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 if tag in BLOCKS:
                     self.end_line()
-                self.within -= sum(t in ("article", "main") for t, *_ in self.open[i:])
+                for t, *_ in self.open[i:]:
+                    self.names[t] -= 1
+                    self.within -= t in ("article", "main")
                 del self.open[i:]
                 return
             if self.open[i][0] in stop:
@@ -65,27 +87,31 @@ class _Reader(HTMLParser):
             if tag in ("li", "dt", "dd", "tr", "td", "th"):
                 self.close_to(tag, frozenset(("ul", "ol", "dl", "table")))
         elif tag == "br":
-            self.parts.append((" ", ()))
+            self.parts.append((" ", 0))
         self.tags += 1
         if tag in VOID:
             return
         self.count += 1
-        skipped = tag in SKIPPED or (bool(self.open) and self.open[-1][2])
-        marks = self.open[-1][3] if self.open else ()
+        _, _, skipped, mark, container = self.open[-1] if self.open else ("", 0, False, 0, 0)
+        skipped = skipped or tag in SKIPPED
         if not skipped and tag not in ("html", "body"):
             hint, whole = self.named(tag, attrs)
             if tag in ("article", "main"):
                 if not hint:
-                    self.articles.append(marks)
+                    self.articles.append(mark)
             else:
                 skipped = any(name == "hidden" for name, _ in attrs)
                 if hint:
-                    self.sure[self.count] = whole
-                    marks = (*marks, self.count)
+                    self.sure[self.count], self.above[self.count] = whole, mark
+                    mark = self.count
         if tag in ("article", "main"):
             self.whole.add(self.count)
             self.within += 1
-        self.open.append((tag, self.count, skipped, marks))
+        if tag in REGIONS:
+            self.parent[self.count] = container
+            container = self.count
+        self.names[tag] = self.names.get(tag, 0) + 1
+        self.open.append((tag, self.count, skipped, mark, container))
 
     def named(self, tag, attrs) -> tuple[bool, bool]:
         """Whether a name holds a mark, and whether one consists of marks alone. Ids of headings and sections are often slugs of their titles."""
@@ -112,37 +138,43 @@ class _Reader(HTMLParser):
         """
         if not self.sure:
             return set()
-        chars: dict[int, int] = {}
-        tags: dict[int, int] = {}
+        chars, tags, holds = dict.fromkeys(self.above, 0), dict.fromkeys(self.above, 0), dict.fromkeys(self.above, False)
+        surely = {0: False}  # whether a name of marks alone stands at the element or above it
+        for m in sorted(self.sure):
+            surely[m] = self.sure[m] or surely[self.above[m]]
         total, ratios = 0, []
         for parts, n_tags, _ in self.raw:
-            sizes: dict[tuple[int, ...], int] = {}
-            for data, marks in parts:
-                sizes[marks] = sizes.get(marks, 0) + sum(map(len, data.split()))
-            for marks, n in sizes.items():
+            sizes: dict[int, int] = {}
+            for data, m in parts:
+                sizes[m] = sizes.get(m, 0) + sum(map(len, data.split()))
+            for m, n in sizes.items():
                 total += n
-                for m in marks:
-                    chars[m] = chars.get(m, 0) + n
-                    tags[m] = tags.get(m, 0) + max(1, n_tags)
-            if not any(self.sure[m] for marks in sizes for m in marks):
+                chars[m] += n
+                tags[m] += max(1, n_tags)
+            if not any(surely[m] for m in sizes):
                 ratios.append(sum(sizes.values()) / max(1, n_tags))
+        for m in self.articles:
+            holds[m] = True
+        for m in sorted(self.sure, reverse=True):  # inner elements have larger numbers
+            up = self.above[m]
+            chars[up] += chars[m]
+            tags[up] += tags[m]
+            holds[up] = holds[up] or holds[m]
         t = clustered(smoothed(ratios)) if ratios else 0.0
-        out = set()
-        for m, whole in self.sure.items():
-            n = chars.get(m, 0)
-            if any(m in marks for marks in self.articles) or 2 * n >= total and not self.articles:
-                continue
-            if whole or 2 * n < t * tags.get(m, 1):
+        out: set[int] = set()
+        for m in sorted(self.sure):
+            stays = holds[m] or 2 * chars[m] >= total and not self.articles
+            if self.above[m] in out or not stays and (self.sure[m] or 2 * chars[m] < t * max(1, tags[m])):
                 out.add(m)
         return out
 
-    def lines(self) -> list[tuple[str, int, tuple[int, ...]]]:
-        """(text, tags, path of open containers) of the lines without what is dropped."""
+    def lines(self) -> list[tuple[str, int, int]]:
+        """(text, tags, innermost container) of the lines without what is dropped."""
         gone, out = self.dropped(), []
-        for parts, tags, path in self.raw:
-            text = " ".join("".join(data for data, marks in parts if gone.isdisjoint(marks)).split())
+        for parts, tags, container in self.raw:
+            text = " ".join("".join(data for data, m in parts if m not in gone).split())
             if text:
-                out.append((text, tags, path))
+                out.append((text, tags, container))
         return out
 
     def handle_startendtag(self, tag, attrs):
@@ -154,13 +186,13 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         self.tags += 1
         if tag == "br":
-            self.parts.append((" ", ()))
+            self.parts.append((" ", 0))
         elif tag not in VOID:
             self.close_to(tag)
 
     def handle_data(self, data):
         if not (self.open and self.open[-1][2]):
-            self.parts.append((data, self.open[-1][3] if self.open else ()))
+            self.parts.append((data, self.open[-1][3] if self.open else 0))
 
 
 def smoothed(values: list[float], radius: int = 2) -> list[float]:
@@ -194,7 +226,8 @@ def main_text(html: str | None, hold: float = 0.75) -> str:
     """The article's text of a page, its blocks in page order joined by newlines; empty if there is none.
 
     Lines are runs of text between block elements; menus, headers, notices and the like are left out by element or by
-    name, names being hints that the page's shape must bear out. Each line's ratio of characters to tags is smoothed, and the lines above the clusters' threshold are content.
+    name, names being hints that the page's shape must bear out. Each line's ratio of characters to tags is smoothed, and
+    the lines above the clusters' threshold are content.
     The innermost element that holds at least `hold` of the content lines' characters marks the place. The region is the
     article or main around it, or else the least element around it that holds all content lines; its lines are all kept,
     so that a short paragraph, a headline or a further section beside long ones stays.
@@ -202,7 +235,7 @@ def main_text(html: str | None, hold: float = 0.75) -> str:
     if not html:
         return ""
     reader = _Reader()
-    reader.feed(_CUT_TAG.sub("", html))
+    reader.feed(without_cut_tag(html))
     reader.close()
     reader.end_line()
     lines = reader.lines()
@@ -210,30 +243,37 @@ def main_text(html: str | None, hold: float = 0.75) -> str:
         return ""
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
     t = clustered(ratios)
-    mass: dict[int, int] = {}
-    paths: dict[int, tuple[int, ...]] = {}
-    total = 0
-    for (text, _, path), r in zip(lines, ratios):
+    mass = dict.fromkeys(reader.parent, 0)
+    for (text, _, container), r in zip(lines, ratios):
         if r >= t:
-            total += len(text)
-            for d, n in enumerate(path):
-                mass[n] = mass.get(n, 0) + len(text)
-                paths[n] = path[: d + 1]
-    held = [n for n, m in mass.items() if m >= hold * total]
-    around = max((paths[n] for n in held), key=len, default=())[::-1]
-    region = next((n for n in around if n in reader.whole), None)
-    if region is None:
-        region = next((n for n in around if mass[n] == total), None)
-    return "\n".join(text for text, _, path in lines if region is None or region in path)
+            mass[container] += len(text)
+    depth = {0: 0}
+    for n in sorted(reader.parent)[1:]:
+        depth[n] = depth[reader.parent[n]] + 1
+    for n in sorted(reader.parent, reverse=True)[:-1]:
+        mass[reader.parent[n]] += mass[n]
+    total = mass[0]
+    held = [n for n in reader.parent if n and mass[n] >= hold * total]
+    innermost = max(held, key=depth.__getitem__, default=0)
+    around = []
+    while innermost:
+        around.append(innermost)
+        innermost = reader.parent[innermost]
+    region = next((n for n in around if n in reader.whole), None) or next((n for n in around if mass[n] == total), 0)
+    inside = {0: region == 0}
+    for n in sorted(reader.parent)[1:]:
+        inside[n] = n == region or inside[reader.parent[n]]
+    return "\n".join(text for text, _, container in lines if inside[container])
 
 
 def extract_text(pages: DataFrame, *, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """The pages' columns without html, and the main text; see main_text.
 
     Pages are independent: nothing is shuffled and a task holds one Arrow batch. Null or empty html and pages without
-    text give an empty text; repeated rows are kept; a column of the input named like the result is replaced.
+    text give an empty text; repeated rows are kept; a column of the input named like the result, in any case of letters, is
+    replaced. Pages of any length and depth are read whole, in time by their length. An empty table gives an empty one.
     """
-    own = [f for f in pages.schema.fields if f.name not in (html_col, text_col)]
+    own = [f for f in pages.schema.fields if f.name != html_col and f.name.lower() != text_col.lower()]
 
     def run(batches):
         import pyarrow as pa

@@ -119,7 +119,25 @@ def test_sections_with_ids():
 
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<script>", "<nav>a</nav>", "<!-- x"])
 def test_no_text(html):
-    assert html_text.main_text(html) in ("", "<", "<p")
+    assert html_text.main_text(html) == ("<" if html == "<" else "")  # a lone < is text, the beginning of a tag is not
+
+
+@pytest.mark.parametrize("end,kept", [(" x <y holds", True), (" a <b and c", True), (" 3 <4", True), (" <p class=\"a", False), (" <div", False), ("</p", False), ("<!-- more", False), (" <em title", True)])
+def test_cut_end(end, kept):
+    text = html_text.main_text("<p>we know that" + end)
+    assert text == " ".join(("we know that" + end).split()) if kept else text == "we know that"
+
+
+def test_deep_pages():
+    import time
+
+    began = time.time()
+    for n in (1000, 8000):
+        html = "".join(f"<div class='box-comment' id=a{i}>line {i} of this page " for i in range(n)) + "</foo>" * n
+        assert html_text.main_text(html)
+        html = "<b>" * n + "words " * 50 + "<p>more</p>" * n
+        assert html_text.main_text(html).endswith("more")
+    assert time.time() - began < 20
 
 
 def test_extract(spark):

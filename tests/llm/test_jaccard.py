@@ -70,6 +70,22 @@ def test_made(spark, seed, cost, monkeypatch):
     assert got == brute(rows)
 
 
+def test_hot_head(spark, monkeypatch):
+    """One text with many near copies, exact copies of one of them and a passage in half of the other rows: heads go out in several copies."""
+    monkeypatch.setattr(jaccard_join, "HEAD_PAIRS", 7)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        rows.append(words)
+    rows += [rows[5]] * 40 + [[f"r{i}_{k}" for k in range(30)] + base[:60] * (i % 2) for i in range(60)]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == brute(rows)
+
+
 def test_tables(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]

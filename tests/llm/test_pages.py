@@ -154,6 +154,8 @@ def test_extract(spark):
     none = spark.createDataFrame([(1, None, "t"), (2, "plain words alone", "t")], "page_id long, html string, text string")
     assert {r.page_id: r.text for r in html_text.extract_text(none).collect()} == {1: "", 2: "plain words alone"}
     assert html_text.extract_text(none.where("false")).count() == 0
+    twice = html_text.extract_text(none.union(none)).collect()
+    assert sorted((r.page_id, r.text) for r in twice) == [(1, ""), (1, ""), (2, "plain words alone"), (2, "plain words alone")]
 
 
 def test_clashing_names(spark):

@@ -9,7 +9,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, functions as F
 
 from causalframe.llm.common import written
-from causalframe.llm.pieces import cut_spaced, text_batches
+from causalframe.llm.pieces import cut_spaced, gather, text_batches
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -149,15 +149,6 @@ def _blocks(batches, block_bytes: int):
         yield keys, texts, key_type
 
 
-def _gather(ends, flat, at):
-    """The lists `at` of (ends, flat), one after another, and the length of each; list i is flat[ends[i] : ends[i + 1]]."""
-    import numpy as np
-
-    lengths = ends[at + 1] - ends[at]
-    shift = ends[at] - np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(at) else lengths
-    return flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))], lengths
-
-
 class CommonWords:
     """Words by hash with their ids, as three arrays. An answer counts only if its tokens' bytes are the word."""
 
@@ -233,7 +224,7 @@ def common_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_b
     ids = lists.values.to_numpy()[lists.offsets[0].as_py() :].astype(np.uint16)
     ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
     by = np.argsort(hashes, kind="stable")
-    ids, lengths = _gather(ends, ids, by)
+    ids, lengths = gather(ends, ids, by)
     return CommonWords(hashes[by], np.concatenate([[0], np.cumsum(lengths)]), ids)
 
 
@@ -288,10 +279,10 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
             word_ends = np.concatenate([[0], np.cumsum(lengths)])
             word_ids = np.empty(int(word_ends[-1]), np.uint32)
             mine = np.repeat(found >= 0, lengths)
-            word_ids[mine] = _gather(table.ends, table.ids, found[old])[0]
+            word_ids[mine] = gather(table.ends, table.ids, found[old])[0]
             word_ids[~mine] = np.arange(len(new), dtype=np.uint32) | np.uint32(1 << 31)
             ends = np.array(ends, np.int64)
-            piece_ids, lengths = _gather(word_ends, word_ids, np.frombuffer(of_piece, np.uint32).astype(np.int64))
+            piece_ids, lengths = gather(word_ends, word_ids, np.frombuffer(of_piece, np.uint32).astype(np.int64))
             piece_ends = np.concatenate([[0], np.cumsum(lengths)])[ends]
             start = size = 0
             for i, r in enumerate(held):
@@ -299,7 +290,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
                 if size > 1_000_000 or i == len(held) - 1:
                     some = held[start : i + 1]
                     at = np.concatenate([np.frombuffer(x, np.uint32) for x in some]).astype(np.int64)
-                    ids, lengths = _gather(piece_ends, piece_ids, at)
+                    ids, lengths = gather(piece_ends, piece_ids, at)
                     sums = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum([len(x) for x in some])])]
                     marked = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((4 * sums).astype("<i4").tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
                     yield pa.RecordBatch.from_arrays([pa.array(keys[start : i + 1], key_type), pa.nulls(len(some), pa.list_(pa.int16())), marked], ["id", "word", "marked"])
@@ -336,7 +327,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
                     folded = np.repeat(mark, lengths)
                     ids = np.empty(len(folded), "<u4")
                     ids[~folded] = marked[~mark]
-                    ids[folded] = _gather(starts, flat, at)[0]
+                    ids[folded] = gather(starts, flat, at)[0]
                     ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
                 else:
                     ids, ends = marked, np.concatenate([[0], np.cumsum(counts)])

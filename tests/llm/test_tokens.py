@@ -157,3 +157,26 @@ def test_crc(spark, docs):
 
     r = packing.pack_documents(docs, P.path("word_bpe_49k.json")).select("ids", F.crc32("ids").alias("c")).first()
     assert zlib.crc32(bytes(r.ids)) == r.c
+
+
+@pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_pieces_are_asked_in_groups(name, spaced):
+    from causalframe.llm.pieces import PieceEncoder
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.sequences = inner, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.sequences += len(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    made = [" ".join(f"w{i}x{k}{'!!' * (i % 2)}" for i in range(400)) for k in range(5)]
+    made += ["a<|endoftext|>b <|endof text|> <|endoftext|>! c", " \n x ", "", "a\nb !", "  d"]
+    encoder = PieceEncoder(P.path(name), spaced, most=1000)
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    for _ in range(2):  # the second time some pieces have been forgotten
+        for part in (made[:3], made[3:5], made[5:]):
+            got = encoder.encode([x.encode() for x in part])
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids[:-1] for ids in library_ids(name, part, 0)]
+    assert encoder.tokenizer.sequences < 100

@@ -8,8 +8,8 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from causalframe.llm.common import written
-from causalframe.llm.pieces import cut_spaced, gather, text_batches
+from causalframe.llm.common import give_back, written
+from causalframe.llm.pieces import cut_named, gather, named_pieces, text_batches
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -101,15 +101,19 @@ def _encode(word: Column, table: Column, slots: int) -> Column:
     return F.when(F.size(word) > 1, _let(single, fold)).otherwise(single).cast("array<int>")
 
 
+#: A batch of documents holds about so many pieces, or one document.
+BATCH_PIECES = 200_000
+#: ids are put together for about so many bytes of them at a time, or for one document.
+BATCH_BYTES = 1_000_000
 #: Fixed value: the pattern whose matches never hold white space after another character, so that texts may be cut there first.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _pieces(text: bytes | None, pattern: str) -> list[bytes]:
-    """Pieces that no match of the pattern crosses: between words for WORDS, the whole text for any other pattern."""
+    """Names (cut_named) of pieces that no match of the pattern crosses: between words for WORDS, the whole text for any other pattern."""
     if not text:
         return []
-    return cut_spaced(text) if pattern == WORDS else [text]
+    return cut_named(text) if pattern == WORDS else [b" " + text]
 
 
 def _cut(piece: str, findall, pattern: str) -> list[str]:
@@ -155,8 +159,8 @@ class CommonWords:
     def __init__(self, hashes, ends, ids):
         self.hashes, self.ends, self.ids = hashes, ends, ids
 
-    def find(self, words: list[bytes], tokens: dict[int, bytes]):
-        """For each word its number here, or -1."""
+    def find(self, words: list[bytes], tokens):
+        """For each word its number here, or -1. tokens: token_bytes of the ranks."""
         import numpy as np
         from xxhash import xxh3_64_intdigest
 
@@ -165,13 +169,27 @@ class CommonWords:
         asked = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
         at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
         at[self.hashes[at] != asked] = -1
-        for i in np.flatnonzero(at >= 0).tolist():
-            k = at[i]
-            if b"".join(map(tokens.__getitem__, self.ids[self.ends[k] : self.ends[k + 1]].tolist())) != words[i]:
-                at[i] = -1
+        met = np.flatnonzero(at >= 0)
+        ids, counts = gather(self.ends, self.ids, at[met])
+        text, lengths = gather(*tokens, ids.astype(np.int64))
+        sums = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        text, mine = text.tobytes(), [words[i] for i in met.tolist()]
+        if text != b"".join(mine) or np.diff(sums).tolist() != list(map(len, mine)):
+            wrong = [text[lo:hi] != w for lo, hi, w in zip(sums.tolist(), sums[1:].tolist(), mine)]
+            at[met[wrong]] = -1
         return at
 
 
+def token_bytes(ranks: dict[bytes, int]):
+    """The bytes of all tokens in order of their ranks, and where each begins; a rank without a token has none."""
+    import numpy as np
+
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for word, rank in ranks.items():
+        pieces[rank] = word
+    return np.cumsum([0, *map(len, pieces)]), np.frombuffer(b"".join(pieces), np.uint8)
+
+
 def common_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int, most: int) -> CommonWords:
     """The words that stand in the most blocks, at most `most` words and none of a single block; folded once for all tasks.
 
@@ -191,11 +209,14 @@ def common_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_b
                 pieces.update(_pieces(t, pattern))
             words: set[str] = set()
             while pieces:
-                words.update(_cut(pieces.pop().decode("utf-8", "replace"), matches, pattern))
+                for piece in named_pieces([pieces.pop() for _ in range(min(10_000, len(pieces)))]):
+                    words.update(_cut(piece.decode("utf-8", "replace"), matches, pattern))
             listed = [w.encode() for w in words]
             words.clear()
             for i in range(0, len(listed), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(listed[i : i + 50_000], pa.binary())], ["word"])
+            del listed
+        give_back()
 
     counted = written(rows.mapInArrow(distinct, "word binary").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "words")
     bound, total = None, 0
@@ -228,14 +249,14 @@ def common_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_b
     return CommonWords(hashes[by], np.concatenate([[0], np.cumsum(lengths)]), ids)
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 24_000_000, most_common: int = 2_000_000) -> DataFrame:
-    """Encode every whole text: a row (id column, ids array of int, ids_bytes little-endian unsigned 32-bit) for each document.
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8_000_000, count_bytes: int | None = None, most_common: int = 2_000_000) -> DataFrame:
+    """Encode every whole text: a row (id column, ids array of int, ids_bytes little-endian unsigned 32-bit, decoded bytes) for each document.
 
     Texts are cut by `pattern` and each match is encoded separately. Up to most_common words that stand in several
-    blocks are folded first and broadcast as arrays of hashes and ids, some 20 bytes a word whatever the input. Then a
+    blocks of count_bytes (three blocks) are folded first and broadcast as arrays of hashes and ids, some 20 bytes a word whatever the input. Then a
     task reads its rows in blocks of block_bytes of text: first come the block's other distinct words, which Spark folds
-    to ids (encode_words), then its documents as ids with marks for those words, which the folded ids replace. Texts are
-    not shuffled, and memory is bounded by a block, or by the longest text.
+    to ids (encode_words), then its documents as ids with marks for those words, which the folded ids replace. `decoded` joins
+    the bytes of the tokens that the ids name. Texts are not shuffled, and memory is bounded by a block, or by the longest text.
 
     Null and empty texts have no ids. Null ids, repeated rows and rows that share an id are kept; other columns are
     ignored, whatever their names. Texts of any length are taken whole. An empty table gives an empty one.
@@ -244,7 +265,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     ranks = load_ranks(ranks_path)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    common = spark.sparkContext.broadcast((common_words(rows, ranks, pattern, block_bytes, most_common), {r: w for w, r in ranks.items()}))
+    common = spark.sparkContext.broadcast(common_words(rows, ranks, pattern, count_bytes or 3 * block_bytes, most_common))
+    tokens = token_bytes(ranks)
 
     def cut(batches):
         import numpy as np
@@ -252,7 +274,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
         import regex
 
         matches = regex.compile(pattern).findall
-        table, tokens = common.value
+        table = common.value
         for keys, texts, key_type in _blocks(batches, block_bytes):
             numbers: defaultdict = defaultdict()
             numbers.default_factory = numbers.__len__
@@ -261,7 +283,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
             named: defaultdict = defaultdict()
             named.default_factory = named.__len__
             of_piece, ends = array("I"), [0]
-            for piece in numbers:
+            for piece in named_pieces(list(numbers)):
                 of_piece.extend(map(named.__getitem__, _cut(piece.decode("utf-8", "replace"), matches, pattern)))
                 ends.append(len(of_piece))
             numbers.clear()
@@ -287,7 +309,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
             start = size = 0
             for i, r in enumerate(held):
                 size += len(r)
-                if size > 1_000_000 or i == len(held) - 1:
+                if size > BATCH_PIECES or i == len(held) - 1:
                     some = held[start : i + 1]
                     at = np.concatenate([np.frombuffer(x, np.uint32) for x in some]).astype(np.int64)
                     ids, lengths = gather(piece_ends, piece_ids, at)
@@ -295,10 +317,12 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
                     marked = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((4 * sums).astype("<i4").tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
                     yield pa.RecordBatch.from_arrays([pa.array(keys[start : i + 1], key_type), pa.nulls(len(some), pa.list_(pa.int16())), marked], ["id", "word", "marked"])
                     start, size = i + 1, 0
+        give_back()
 
     def join(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         lists, open_ = [], False  # the folded words of a block, and whether more may come
         for batch in batches:
@@ -316,29 +340,37 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
                     words = pa.concat_arrays(lists)
                     starts = words.offsets.to_numpy().astype(np.int64)
                     flat, open_ = words.values.to_numpy().astype("<u4"), False
-                texts = part.column(2).to_pylist()
-                marked = np.frombuffer(b"".join(texts), "<u4")
-                counts = np.array([len(t) // 4 for t in texts])
-                mark = marked >> 31 == 1
-                if mark.any():
-                    at = (marked[mark] & 0x7FFFFFFF).astype(np.int64)
-                    lengths = np.ones(len(marked), np.int64)
-                    lengths[mark] = starts[at + 1] - starts[at]
-                    folded = np.repeat(mark, lengths)
-                    ids = np.empty(len(folded), "<u4")
-                    ids[~folded] = marked[~mark]
-                    ids[folded] = gather(starts, flat, at)[0]
-                    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-                else:
-                    ids, ends = marked, np.concatenate([[0], np.cumsum(counts)])
-                data, offsets = pa.py_buffer(ids.tobytes()), ends.astype(np.int32)
-                values = pa.Array.from_buffers(pa.int32(), len(ids), [None, data])
-                raw = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * offsets).tobytes()), data])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values), raw], [id_col, "ids", "ids_bytes"])
+                # Spark's batches hold thousands of documents, whatever their length
+                run = np.cumsum(pc.binary_length(part.column(2)).to_numpy()) // BATCH_BYTES
+                starts_at = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(run)]
+                for some in (part.slice(i, k - i) for i, k in zip(starts_at, starts_at[1:])):
+                    texts = some.column(2).to_pylist()
+                    marked = np.frombuffer(b"".join(texts), "<u4")
+                    counts = np.array([len(t) // 4 for t in texts])
+                    mark = marked >> 31 == 1
+                    if mark.any():
+                        at = (marked[mark] & 0x7FFFFFFF).astype(np.int64)
+                        lengths = np.ones(len(marked), np.int64)
+                        lengths[mark] = starts[at + 1] - starts[at]
+                        folded = np.repeat(mark, lengths)
+                        ids = np.empty(len(folded), "<u4")
+                        ids[~folded] = marked[~mark]
+                        ids[folded] = gather(starts, flat, at)[0]
+                        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+                    else:
+                        ids, ends = marked, np.concatenate([[0], np.cumsum(counts)])
+                    data, offsets = pa.py_buffer(ids.tobytes()), ends.astype(np.int32)
+                    values = pa.Array.from_buffers(pa.int32(), len(ids), [None, data])
+                    raw = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * offsets).tobytes()), data])
+                    text, lengths = gather(*tokens, ids.astype(np.int64))
+                    sums = np.concatenate([[0], np.cumsum(lengths)])[ends].astype(np.int32)
+                    decoded = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(sums.tobytes()), pa.py_buffer(text.tobytes())])
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(offsets), values), raw, decoded], [id_col, "ids", "ids_bytes", "decoded"])
+        give_back()
 
     cut_rows = rows.mapInArrow(cut, f"id {kind}, word array<smallint>, marked binary")
     folded = cut_rows.select("id", F.when(F.col("marked").isNull(), encode_words(F.col("word"), ranks)).alias("ids"), "marked")
-    return folded.mapInArrow(join, f"`{id_col}` {kind}, ids array<int>, ids_bytes binary")
+    return folded.mapInArrow(join, f"`{id_col}` {kind}, ids array<int>, ids_bytes binary, decoded binary")
 
 
 def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:

@@ -6,7 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causalframe.storage import delete, scratch, written
 
-__all__ = ["Tables", "components", "delete", "scratch", "ship", "written"]
+__all__ = ["Tables", "components", "delete", "give_back", "scratch", "ship", "written"]
+
+
+def give_back() -> None:
+    """Hand free memory back to the system at a task's end: Python workers live on beside those of later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 class Tables:

@@ -180,3 +180,26 @@ def test_pieces_are_asked_in_groups(name, spaced):
             got = encoder.encode([x.encode() for x in part])
             assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids[:-1] for ids in library_ids(name, part, 0)]
     assert encoder.tokenizer.sequences < 100
+
+
+def test_bpe_puts_long_batches_together_in_parts(spark, monkeypatch):
+    texts = [(i, None if i == 3 else f"Ünder x{i} the  {i * i}, fox!\n" * (i % 7)) for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(byte_bpe, "BATCH_BYTES", 700)
+    asked = []
+    monkeypatch.setattr(byte_bpe, "common_words", lambda *a, f=byte_bpe.common_words: asked.append(a[3]) or f(*a))
+    tk = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    got = {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in byte_bpe.encode_texts(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, block_bytes=3000).collect()}
+    assert got == {i: (tk.encode_ordinary(t or ""), (t or "").encode()) for i, t in texts}
+    assert asked == [9000]
+
+
+def test_common_words_only_count_if_their_bytes_agree():
+    from xxhash import xxh3_64_intdigest
+
+    tokens = byte_bpe.token_bytes({b"a": 0, b"bc": 1, b"d": 3})
+    words = sorted([b"abc", b"bcd", b"dd"], key=xxh3_64_intdigest)
+    lists = {b"abc": [0, 1], b"bcd": [1, 3], b"dd": [3, 0]}  # the last is another word's answer
+    table = byte_bpe.CommonWords(np.array([xxh3_64_intdigest(w) for w in words], np.uint64), np.array([0, 2, 4, 6]), np.array([i for w in words for i in lists[w]], np.uint16))
+    assert table.find([b"bcd", b"zz", b"abc", b"dd"], tokens).tolist() == [words.index(b"bcd"), -1, words.index(b"abc"), -1]
+    assert table.find([b"abc"], tokens).tolist() == [words.index(b"abc")]

@@ -7,7 +7,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from causalframe.llm.common import Tables, components
+from causalframe.llm.common import Tables, components, give_back
 from causalframe.llm.shingles import Shingler, class_key, need_alone, shared_shingles
 
 #: Which representatives' sets are read again is told to the tasks as a bit for each hash bucket of ids.
@@ -125,6 +125,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                             out = []
             if out:
                 yield listed(out)
+        give_back()
 
     light_pairs = None
     if top:
@@ -161,6 +162,8 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 part = [shingler.of(t) for t in batch.column(0).slice(lo, 200).cast(pa.binary()).to_pylist()]
                 columns = [pa.array([class_key(x) for x in part], pa.binary()), pa.array([x.tobytes() for x in part], pa.binary()), pa.array([bitmap(x) for x in part], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["class", "members", "bits"])
+        del shingler
+        give_back()
 
     read = asked.mapInArrow(sets, "class binary, members binary, bits array<bigint>").join(wanted.select("class", "num"), "class")
     whole_sets = read.groupBy("num").agg(F.first(F.struct("members", "bits")).alias("s")).select("num", "s.*")

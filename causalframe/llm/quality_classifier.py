@@ -8,6 +8,8 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from causalframe.llm.common import give_back
+
 if TYPE_CHECKING:
     import numpy as np
 
@@ -212,6 +214,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, thres
         for batch in batches:
             scores = [m.score(features.of(t)) for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*(f.name for f in own), "score"])
+        del features
+        give_back()
 
     schema = T.StructType([*own, T.StructField("score", T.DoubleType())])
     scored = docs.select(*[F.col(f"`{f.name}`") for f in own]).mapInArrow(run, schema)

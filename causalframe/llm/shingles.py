@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from causalframe.llm.common import give_back
+
 #: A chunk is what a task deals out at a time: about so many shingles, of at most so many sets.
 CHUNK_SHINGLES, CHUNK_SETS = 1_000_000, 2_000
 #: A block is a range of shingle hashes, met in one task: about those of so many bytes of text.
@@ -142,6 +144,8 @@ def shared_shingles(rows: DataFrame, *, width: int, percent: int, small: int) ->
                     sets, held, chunk = [], 0, chunk + 1
         if sets:
             yield from asked(sets, chunk, id_arrow)
+        del shingler, seen, sets
+        give_back()
 
     def asked(sets, chunk, id_arrow):
         import numpy as np
@@ -208,6 +212,8 @@ def shared_shingles(rows: DataFrame, *, width: int, percent: int, small: int) ->
             keep = mine > 0
             if keep.any():
                 out.append((c, h[keep].tobytes(), pack_steps(p[keep]), mine[keep].tobytes()))
+        del messages, hashes, weight, order, ordered, first, of, code
+        give_back()
         key, many = table.column("key")[0].as_py(), len(out)
         columns = list(zip(*out)) if out else [[]] * 4
         made = batch(table.schema.field("id").type, key=[key] * many, chunk=columns[0], kind=[ANSWER] * many, hashes=columns[1], places=columns[2], more=columns[3])
@@ -257,6 +263,9 @@ def shared_shingles(rows: DataFrame, *, width: int, percent: int, small: int) ->
         offsets = pa.array(np.concatenate([np.zeros(copies + 1, np.int64), ends]).astype(np.int32), mask=np.concatenate([dead, [False]]))
         unshared = pa.array(np.concatenate([np.zeros(copies, np.int64), size - shared]).astype(np.int32), mask=dead)
         lists = pa.ListArray.from_arrays(offsets, pa.array(name))
+        if total:
+            del owner, code, by, keep, hot, hot_code
+            give_back()
         return pa.Table.from_arrays([docs.column("id"), docs.column("n"), docs.column("class"), unshared, lists], ["id", "n", "class", "unshared", "shingles"])
 
     answered = rows.select("id", "text").mapInArrow(deal, schema).groupBy("key").applyInArrow(answer, schema)

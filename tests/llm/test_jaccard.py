@@ -107,3 +107,16 @@ def test_light_sizes():
                 c = jaccard_join.need(a, b, 90)
                 if c <= a and not (a == b == c):
                     assert c in jaccard_join.overlaps(a, top, 90) and c in jaccard_join.overlaps(b, top, 90)
+
+
+def test_tasks_hand_free_memory_back():
+    import psutil
+
+    from causalframe.llm.common import give_back
+
+    held = [bytes(2000 + i % 7) for i in range(60_000)]
+    pins = held[::500]  # what keeps the allocator from shrinking on its own
+    del held
+    before = psutil.Process().memory_info().rss
+    give_back()
+    assert psutil.Process().memory_info().rss < before - 50_000_000 and len(pins) == 120

@@ -20,6 +20,14 @@ PAIR_COST = 32
 SMALL = 40
 #: A set is sent about once for so many classes that it is compared with.
 HEAD_PAIRS = 500
+#: Lists are scanned once that means looking at no more than so many pairs for each of their entries, or rounds of heads stop helping.
+SCAN_LOOKS = 4
+#: Or verifying no more than so many pairs for each of their entries.
+SCAN_PAIRS = 0.5
+#: Heads of a list in a later round, at most.
+MOST_HEADS = 12
+#: A round of heads helps if one of so many of its sets finds a link.
+LEAST_LINKED = 20
 
 
 def need(a, b, percent: int):
@@ -75,9 +83,12 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
        group also links with its smallest set, so each set is paired with that one alone.
     3. Heavy classes, and light ones whose partner may be heavy, write their rarest shared shingles to inverted lists:
        linked sets share one of them, in lists of sets of like sizes. For each of HEADS random orders a class is paired
-       with the list head that it meets most; the verified pairs give components. Then the lists are scanned for pairs of
-       different components that pass the length, positional and bitmap bounds: what lies outside a list's most frequent
-       component, with all of the list. The heads take the squares out of groups of near copies; the scan loses no link.
+       with the list head that it meets most; the verified pairs give components. While lists still hold many sets outside
+       their most frequent component, these are paired with the likest (by bitmap) of further heads, which differ by list,
+       as most pairs of a group may lie just below the threshold; rounds go on while they find links. Then the lists are
+       scanned for pairs of different components that pass the length, positional and bitmap bounds: what lies outside a
+       list's most frequent component, with all of the list. The heads take the squares out of groups of near copies; the
+       scan loses no link.
     4. Pairs are verified on whole sets; components follow from the links. A set that many are compared with is sent
        about once for HEAD_PAIRS of them, so that no task gets all its pairs.
 
@@ -174,7 +185,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
     def least_common(n, m):
-        return -F.floor(-(percent * (F.col(n) + F.col(m))) / F.lit(100 + percent))
+        return -F.floor(-(percent * (n + m)) / F.lit(100 + percent))
 
     def compare(batches):
         import numpy as np
@@ -194,7 +205,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         one, two = [sizes.select(F.col("num").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "bits")]) for k in ("num", "head")]
         both = pairs.distinct().join(one, "num").join(two, "head")
         may = tables.keep(both.where(
-            (percent * F.greatest("n_num", "n_head") <= 100 * F.least("n_num", "n_head")) & (F.col("n_num") + F.col("n_head") - 2 * least_common("n_num", "n_head") >= apart("bits_num", "bits_head"))
+            (percent * F.greatest("n_num", "n_head") <= 100 * F.least("n_num", "n_head")) & (F.col("n_num") + F.col("n_head") - 2 * least_common(F.col("n_num"), F.col("n_head")) >= apart("bits_num", "bits_head"))
         ).select("num", "head"))
         many = may.count()
         salted = may.withColumn("salt", F.pmod(F.xxhash64("num"), F.lit(many // HEAD_PAIRS + 1)))
@@ -214,23 +225,69 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     links = verified(pairs if light_pairs is None else pairs.union(light_pairs))
 
     # the lists that hold more than one component, with each class's component
-    roots = tables.keep(components(links, rounds=2).withColumnRenamed("node", "num"))
-    rooted = tables.keep(placed.join(roots, "num", "left").withColumn("root", F.coalesce("root", "num")))
-    several = rooted.groupBy("token", "g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "g")
-    lists = tables.keep(rooted.join(tables.keep(several), ["token", "g"]))
-    counted = lists.groupBy("token", "g", "root").agg(F.count("*").alias("c"))
-    largest = tables.keep(counted.groupBy("token", "g").agg(F.max_by("root", F.struct("c", "root")).alias("largest")))
-    scanned = tables.keep(lists.join(largest, ["token", "g"]).join(sizes.select("num", "bits"), "num"))
-    x, y = scanned.where("root <> largest").drop("largest").alias("x"), scanned.alias("y")
-    bound = least_common("x.n", "y.n")
+    def several(entries: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        rooted = tables.keep(entries.join(roots, "num", "left").withColumn("root", F.coalesce("root", "num")))
+        counted = rooted.groupBy("token", "g", "root").agg(F.count("*").alias("c")).groupBy("token", "g")
+        # a list's most frequent component, and the entries of all and of that one
+        found = counted.agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.sum("c").alias("held"), F.max("c").alias("inside")).where("held > inside")
+        found = tables.keep(found)
+        return rooted, found, rooted.join(found.select("token", "g", "largest"), ["token", "g"])
+
+    def may_link(x, y):
+        """Whether entries of a list, given as functions of a column's name, lie in different components and pass all bounds; sets of one size class meet in the first of their two lists."""
+        bound = least_common(x("n"), y("n"))
+        return (
+            (x("root") != y("root")) & (x("own") | y("own"))
+            & (percent * F.greatest(x("n"), y("n")) <= 100 * F.least(x("n"), y("n")))
+            & (F.least(x("n") - x("pos"), y("n") - y("pos")) >= bound)
+            & (x("n") + y("n") - 2 * bound >= apart(x("bits"), y("bits")))
+        )
+
+    roots = tables.keep(components(links, rounds=4).withColumnRenamed("node", "num"))
+    rooted, found, lists = several(placed, roots)
+    scanned = tables.keep(lists.join(sizes.select("num", "bits"), "num").withColumn("own", F.col("g") == size_class))
+    tables.drop(rooted)
+    entry = F.struct("num", "n", "pos", "root", "own", "bits")
+    turn = HEADS
+    while True:
+        held, outside, looks = found.agg(F.sum("held"), F.sum(F.col("held") - F.col("inside")), F.sum((F.col("held") - F.col("inside")) * F.col("held"))).first()
+        tables.drop(found)
+        if not held or looks <= SCAN_LOOKS * held:
+            break
+        # each set outside is paired with the likest of the heads of its lists, which differ by list and round
+        many = min(MOST_HEADS, max(HEADS, held // outside))
+        orders = [F.min_by(entry, F.xxhash64("num", "token", F.lit(turn + k))) for k in range(many)]
+        turn += many
+        heads = tables.keep(scanned.groupBy("token", "g").agg(F.array(*orders).alias("heads"), F.count("*").alias("held")))
+        met = scanned.where("root <> largest").select("token", "g", entry.alias("x")).join(heads, ["token", "g"])
+        likes = F.transform("heads", lambda h: F.when(may_link(F.col("x").getField, h.getField), F.struct(apart(F.col("x.bits"), h["bits"]).alias("d"), h["num"].alias("head"))))
+        # the pairs that a scan would have to verify, by the share of heads that pass the bounds
+        share = F.size(F.filter("likes", lambda h: h.isNotNull())) * F.col("held") / many
+        likest = met.select(F.col("x.num").alias("num"), "held", likes.alias("likes")).groupBy("num").agg(
+            F.filter(F.array(*[F.min(F.get("likes", F.lit(k))) for k in range(many)]), lambda h: h.isNotNull()).alias("likes"), F.sum(share).alias("pairs")
+        )
+        tried = tables.keep(likest.where("pairs > 0"))
+        asked_for, pairs = tried.agg(F.count("*"), F.sum("pairs")).first()
+        if not asked_for or pairs <= SCAN_PAIRS * held:
+            tables.drop(heads, tried)
+            break
+        more = verified(tried.select("num", F.explode("likes.head").alias("head")))
+        linked = more.select("a").distinct().count()
+        links = links.union(more)
+        roots = tables.keep(components(links).withColumnRenamed("node", "num"))
+        rooted, found, lists = several(scanned.drop("root", "largest"), roots)
+        before, scanned = scanned, tables.keep(lists)
+        tables.drop(rooted, before, heads, tried)
+        if LEAST_LINKED * linked < asked_for or not linked:
+            break
+
+    x, y = [scanned.alias(a) for a in "xy"]
     meet = (
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("y.root") == F.col("y.largest")) | (F.col("x.num") < F.col("y.num")))
-        & (percent * F.greatest("x.n", "y.n") <= 100 * F.least("x.n", "y.n"))
-        & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= bound)
-        & (F.col("x.n") + F.col("y.n") - 2 * bound >= apart("x.bits", "y.bits"))
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.g") == F.col("y.g")) & ((F.col("y.root") == F.col("y.largest")) | (F.col("x.num") < F.col("y.num")))
+        & may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
     )
-    links = links.union(verified(x.join(y, meet).select(F.col("y.num").alias("num"), F.col("x.num").alias("head"))))
+    met = x.where("x.root <> x.largest").join(y, meet)
+    links = links.union(verified(met.select(F.col("y.num").alias("num"), F.col("x.num").alias("head"))))
     roots = tables.keep(components(links).withColumnRenamed("node", "num"))
     linked = classes.select("num", "class", "least_id").join(roots, "num")
     lowest = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))

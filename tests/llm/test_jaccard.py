@@ -86,6 +86,40 @@ def test_hot_head(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_near_copies_around_the_threshold_make_no_squares(spark, monkeypatch):
+    """A group of near copies of which most pairs lie just below the threshold, and half of the rest just above: few pairs are compared."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        for at in rng.sample(range(3, 200, 8), 3):
+            words[at] = f"x{at}_{rng.randrange(2)}"
+        rows.append((i, " ".join(words)))
+    compared = []
+
+    def keep(self, df, f=jaccard_join.Tables.keep):
+        out = f(self, df)
+        compared.append(out.count() if out.columns == ["num", "head"] else 0)
+        return out
+
+    monkeypatch.setattr(jaccard_join.Tables, "keep", keep)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == brute(rows)
+    assert sum(compared) < 10 * len(rows)
+
+
+@pytest.mark.parametrize("looks, pairs", [(0, 0), (0, 10**9)])
+def test_rounds_of_heads(spark, looks, pairs, monkeypatch):
+    """Rounds go on while they help, or end before any: the same links."""
+    monkeypatch.setattr(jaccard_join, "SCAN_LOOKS", looks)
+    monkeypatch.setattr(jaccard_join, "SCAN_PAIRS", pairs)
+    rows = made(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.link_documents(df).collect())
+    assert got == brute(rows)
+
+
 def test_tables(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]

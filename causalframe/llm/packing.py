@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from causalframe.llm.common import give_back
 from causalframe.llm.pieces import shared_encoder, text_batches
 
 
@@ -150,6 +151,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
                     pieces, held = [], 0
         if pieces:
             yield from table(lay_out(pieces, window, slack))
+        del pieces
+        give_back()
 
     schema = f"`{id_col}` {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

@@ -22,6 +22,27 @@ def give_back() -> None:
         pass
 
 
+#: Up to so many edges are joined in one task, some 100 bytes an edge; more take rounds over all tasks.
+ONE_TASK_EDGES = 2_000_000
+
+
+def least_reached(a, b):
+    """(nodes, roots) of edges given as two arrays: all nodes in order, and the least node that each reaches."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 class Tables:
     """Written tables of one operator; those that no later step reads are dropped, so that they do not fill the folder."""
 
@@ -45,7 +66,8 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 
     After a limited number of rounds a root may not be the least node yet, but still lies in the node's component.
 
-    Alternating large-star and small-star rounds (Kiveris and others, 2014). A node's least neighbour comes from a
+    Up to ONE_TASK_EDGES edges between 64-bit numbers are joined in one task, as each round costs several jobs. Others take
+    alternating large-star and small-star rounds (Kiveris and others, 2014). A node's least neighbour comes from a
     partial aggregate that is joined back, so no neighbourhood is gathered in one task; each round is written to the
     shared folder and the rounds end when the edges no longer change. Null ends and loops are left out.
     """
@@ -68,8 +90,22 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    cur, path = save(tidy(edges.select("a", "b")))
-    before, done = mark(cur) if rounds is None else (1,), 0
+    cur, path = save(edges.where("a <> b").select("a", "b"))
+    before, done = mark(cur), 0
+    if before[0] <= ONE_TASK_EDGES and {t.dataType.simpleString() for t in cur.schema} == {"bigint"}:
+
+        def joined(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            found = [np.zeros((2, 0), np.int64), *(np.stack([x.column(0).to_numpy(), x.column(1).to_numpy()]) for x in batches)]
+            nodes, roots = least_reached(*np.concatenate(found, axis=1))
+            del found
+            for i in range(0, len(nodes), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(roots[i : i + 100_000])], ["node", "root"])
+            give_back()
+
+        return cur.coalesce(1).mapInArrow(joined, "node long, root long")
     while before[0] and done != rounds:
         done += 1
         # large-star: neighbours above u point at the least of u and its neighbours

@@ -143,6 +143,38 @@ def test_light_sizes():
                     assert c in jaccard_join.overlaps(a, top, 90) and c in jaccard_join.overlaps(b, top, 90)
 
 
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_components_in_few_jobs(spark, monkeypatch, most):
+    """Chains, stars, loops, repeated and null edges: the same roots in one task as in rounds, which take more jobs."""
+    from causalframe.llm import common
+
+    monkeypatch.setattr(common, "ONE_TASK_EDGES", most)
+    rng = random.Random(5)
+    chain = list(range(-40, 40))
+    rng.shuffle(chain)
+    edges = [*zip(chain, chain[1:]), *((1000, 1000 + i) for i in range(1, 50)), *((2100 - i, 2100) for i in range(50)), (7, 7), (5000, 5000), (None, 3), (4, None), (1000, 1001), (1001, 1000)]
+    edges += [(rng.randrange(3000, 3200), rng.randrange(3000, 3200)) for _ in range(120)]
+    root = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a in root and b in root:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    spark.sparkContext.setJobGroup(f"components-{most}", "")
+    got = sorted((r.node, r.root) for r in common.components(df).collect())
+    assert got == sorted((x, find(x)) for x in root)
+    if most:
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{most}")) <= 6
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert common.components(df.where("false")).count() == 0
+
+
 def test_tasks_hand_free_memory_back():
     import psutil
 

@@ -71,8 +71,9 @@ def _encode(word: Column, table: Column, slots: int) -> Column:
     def rank(left: Column, right: Column) -> Column:
         """Merged rank of a pair, or _NONE."""
         key = left * 65536 + right
-        one = F.get(table, ((key * 40503 + F.shiftright(key, 16) * 7919) % slots).cast("int"))
-        two = F.get(table, (slots + (key * 30011 + F.shiftright(key, 16) * 104729) % slots).cast("int"))
+        # merge_table's slots, key * 40503 + left * 7919 and key * 30011 + left * 104729, in as few steps as can be
+        one = F.get(table, ((left * (65536 * 40503 + 7919) + right * 40503) % slots).cast("int"))
+        two = F.get(table, ((left * (65536 * 30011 + 104729) + right * 30011) % slots + slots).cast("int"))
         return F.when(F.shiftright(one, 16) == key, one.bitwiseAND(65535)).when(F.shiftright(two, 16) == key, two.bitwiseAND(65535)).otherwise(F.lit(_NONE))
 
     def ranked(left: Column, right: Column) -> Column:

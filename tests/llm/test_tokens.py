@@ -203,3 +203,14 @@ def test_common_words_only_count_if_their_bytes_agree():
     table = byte_bpe.CommonWords(np.array([xxh3_64_intdigest(w) for w in words], np.uint64), np.array([0, 2, 4, 6]), np.array([i for w in words for i in lists[w]], np.uint16))
     assert table.find([b"bcd", b"zz", b"abc", b"dd"], tokens).tolist() == [words.index(b"bcd"), -1, words.index(b"abc"), -1]
     assert table.find([b"abc"], tokens).tolist() == [words.index(b"abc")]
+
+
+def test_fold_works_out_slots_in_few_steps(spark):
+    """The numbers of a pair's two slots come from its ids directly: the fold's expression stays short."""
+    from pyspark.sql import functions as F
+
+    from causalframe.llm import byte_bpe
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257}
+    text = str(byte_bpe.encode_words(F.col("word"), ranks))
+    assert text.count("*") <= 40 and text.count("shiftright") <= 10

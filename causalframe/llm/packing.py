@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from causalframe.llm.common import give_back
 from causalframe.llm.pieces import shared_encoder, text_batches
 
+#: A worker remembers about so many pieces of text, some 250 bytes each, and encodes about so many bytes of text at a time.
+MOST_PIECES, RUN_BYTES = 300_000, 1_000_000
+
 
 class OpenWindows:
     """Open windows by remaining capacity: a segment tree whose leaf c counts the windows with c tokens left."""
@@ -106,7 +109,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = shared_encoder(tokenizer_path, spaced=False)
+        encoder = shared_encoder(tokenizer_path, spaced=False, most=MOST_PIECES)
         end = np.array([end_id], "<u4").tobytes()
         next_seq = TaskContext.get().partitionId() << 40
         names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -135,7 +138,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
         pieces, held, key_type = [], 0, None
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for keys, texts in text_batches(batch, 0, 1):
+            for keys, texts in text_batches(batch, 0, 1, RUN_BYTES):
                 full = []
                 for key, ids in zip(keys, encoder.encode(texts)):
                     ids += end

@@ -214,23 +214,21 @@ class PieceEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def shared_encoder(tokenizer_path: str, spaced: bool, plain_specials: bool = False) -> PieceEncoder:
+def shared_encoder(tokenizer_path: str, spaced: bool, plain_specials: bool = False, most: int = 1_000_000) -> PieceEncoder:
     """One encoder for all tasks of a Python worker, which so remembers pieces between them."""
-    return PieceEncoder(tokenizer_path, spaced, plain_specials)
+    return PieceEncoder(tokenizer_path, spaced, plain_specials, most)
 
 
 def text_batches(batch, id_col: int, text_col: int, most_bytes: int = 4_000_000):
-    """(doc ids, texts as bytes) of an Arrow batch, in runs of about most_bytes."""
+    """(doc ids, texts as bytes) of an Arrow batch, in runs of about most_bytes; only one run's texts are made at a time."""
+    import numpy as np
     import pyarrow as pa
-
-    ids = batch.column(id_col).to_pylist()
-    texts = batch.column(text_col).cast(pa.binary()).to_pylist()
-    run, size, start = [], 0, 0
-    for i, t in enumerate(texts):
-        run.append(t)
-        size += len(t or b"")
-        if size >= most_bytes:
-            yield ids[start : i + 1], run
-            run, size, start = [], 0, i + 1
-    if run:
-        yield ids[start:], run
+    import pyarrow.compute as pc
+
+    texts = batch.column(text_col)
+    sums = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = before = 0
+    while start < len(sums):
+        end = min(int(np.searchsorted(sums, before + most_bytes)) + 1, len(sums))
+        yield batch.column(id_col).slice(start, end - start).to_pylist(), texts.slice(start, end - start).cast(pa.binary()).to_pylist()
+        start, before = end, int(sums[end - 1])

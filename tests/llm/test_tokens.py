@@ -214,3 +214,26 @@ def test_fold_works_out_slots_in_few_steps(spark):
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257}
     text = str(byte_bpe.encode_words(F.col("word"), ranks))
     assert text.count("*") <= 40 and text.count("shiftright") <= 10
+
+
+def test_packing_holds_one_run_of_texts_at_a_time():
+    """Of a batch only a run's texts are made, in order, whatever their lengths; what a worker remembers is bounded."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from causalframe.llm.pieces import text_batches
+
+    made = [None, "", "ü" * 700_000, *(f"{i} " * 5000 for i in range(1000)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(made))), pa.array(made)], ["id", "text"]).slice(1)
+    tracemalloc.start()
+    got, sizes = [], []
+    for keys, texts in text_batches(batch, 0, 1, packing.RUN_BYTES):
+        got += [(k, None if t is None else zlib.crc32(t)) for k, t in zip(keys, texts)]
+        sizes.append(sum(len(t or b"") for t in texts))
+        del texts
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(k, None if t is None else zlib.crc32(t.encode())) for k, t in enumerate(made)][1:]
+    assert peak < 6_000_000 < sum(sizes) and max(sizes) < 2_500_000
+    assert packing.MOST_PIECES <= 300_000

@@ -9,7 +9,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, functions as F
 
 from causalframe.llm.common import give_back, written
-from causalframe.llm.pieces import cut_named, gather, named_pieces, text_batches
+from causalframe.llm.pieces import cut_named, gather, named_pieces, number_named, text_batches
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -56,7 +56,10 @@ def encode_words(word: Column, ranks: dict[bytes, int]) -> Column:
         raise ValueError("ranks beyond 65535 do not fit the merge table")
     table = merge_table(ranks)
     slots = len(table) // 2
-    table += [ranks[bytes([b])] for b in range(256)]
+    one = [bytes([b]) for b in range(256)]
+    table += [ranks[b] for b in one]
+    # a byte's id with the rank of the pair that it begins with the next byte, or with none (256)
+    table += [ranks.get(a + b, _NONE) * 65536 + ranks[a] if b else _NONE * 65536 + ranks[a] for a in one for b in [*one, b""]]
     literal = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # the optimizer folds it to one literal
     # a function over the one-element array of it names the table for the folds inside
     return F.get(F.transform(F.array(literal), lambda named: _encode(word, named, slots)), F.lit(0))
@@ -94,12 +97,11 @@ def _encode(word: Column, table: Column, slots: int) -> Column:
             least < _NONE, _let(F.array_position(F.transform(state, lambda x: F.shiftright(x, 16)), least).cast("int"), lambda at: merged(least, at))
         ).otherwise(state))
 
-    def fold(ids: Column) -> Column:
-        pairs = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), ranked)
-        return F.transform(F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), pairs, step), lambda x: x.bitwiseAND(65535))
-
+    later = F.slice(word, F.lit(2), F.size(word))
+    pairs = F.zip_with(word, later, lambda a, b: F.get(table, a.cast("int") * 257 + F.coalesce(b.cast("int"), F.lit(256)) + (2 * slots + 256)))
+    folded = F.transform(F.aggregate(later, pairs, step), lambda x: x.bitwiseAND(65535))
     single = F.transform(word, lambda b: F.get(table, b.cast("int") + 2 * slots))
-    return F.when(F.size(word) > 1, _let(single, fold)).otherwise(single).cast("array<int>")
+    return F.when(F.size(word) > 1, folded).otherwise(single).cast("array<int>")
 
 
 #: A batch of documents holds about so many pieces, or one document.
@@ -110,23 +112,31 @@ BATCH_BYTES = 1_000_000
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _pieces(text: bytes | None, pattern: str) -> list[bytes]:
-    """Names (cut_named) of pieces that no match of the pattern crosses: between words for WORDS, the whole text for any other pattern."""
-    if not text:
-        return []
-    return cut_named(text) if pattern == WORDS else [b" " + text]
-
+def _pieces(texts: list[bytes | None], pattern: str):
+    """number_named of pieces that no match of the pattern crosses: between words for WORDS, whole texts for any other pattern."""
+    import numpy as np
 
-def _cut(piece: str, findall, pattern: str) -> list[str]:
-    """The pattern's matches in a piece; for WORDS a run of letters, after a space or not and before one stop or comma or not, is known without it."""
-    if pattern != WORDS:
-        return findall(piece)
-    core = piece[1:] if piece[:1] == " " else piece
-    if core.isalpha():
-        return [piece]
-    if core[-1:] in (".", ",") and core[:-1].isalpha():
-        return [piece[:-1], piece[-1]]
-    return findall(piece)
+    if pattern == WORDS:
+        return number_named(texts)
+    ends = np.cumsum([bool(t) for t in texts], dtype=np.int32)
+    return [b" " + t for t in texts if t], [np.arange(end - bool(t), end, dtype=np.int32) for t, end in zip(texts, ends)]
+
+
+def _cut(name: bytes, findall, pattern: str) -> list[bytes]:
+    """The pattern's matches in the piece of that name; for WORDS a run of letters, after a space or not and before one stop or comma or not, is known without it."""
+    # ASCII letters with no space in their name: a piece of WORDS
+    if name.isalpha():
+        return [b" " + name]
+    if name[-1:] in (b".", b",") and name[:-1].isalpha():
+        return [b" " + name[:-1], name[-1:]]
+    piece = named_pieces([name])[0].decode("utf-8", "replace")
+    if pattern == WORDS:
+        core = piece[1:] if piece[:1] == " " else piece
+        if core.isalpha():
+            return [piece.encode()]
+        if core[-1:] in (".", ",") and core[:-1].isalpha():
+            return [piece[:-1].encode(), piece[-1:].encode()]
+    return [x.encode() for x in findall(piece)]
 
 
 def _bytes_lists(words: list[bytes]):
@@ -206,13 +216,12 @@ def common_words(rows: DataFrame, ranks: dict[bytes, int], pattern: str, block_b
         matches = regex.compile(pattern).findall
         for _, texts, _ in _blocks(batches, block_bytes):
             pieces: set[bytes] = set()
-            for t in texts:
-                pieces.update(_pieces(t, pattern))
-            words: set[str] = set()
+            for t in filter(None, texts):
+                pieces.update(cut_named(t) if pattern == WORDS else [b" " + t])
+            words: set[bytes] = set()
             while pieces:
-                for piece in named_pieces([pieces.pop() for _ in range(min(10_000, len(pieces)))]):
-                    words.update(_cut(piece.decode("utf-8", "replace"), matches, pattern))
-            listed = [w.encode() for w in words]
+                words.update(_cut(pieces.pop(), matches, pattern))
+            listed = list(words)
             words.clear()
             for i in range(0, len(listed), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(listed[i : i + 50_000], pa.binary())], ["word"])
@@ -277,18 +286,16 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
         matches = regex.compile(pattern).findall
         table = common.value
         for keys, texts, key_type in _blocks(batches, block_bytes):
-            numbers: defaultdict = defaultdict()
-            numbers.default_factory = numbers.__len__
-            held = [array("I", map(numbers.__getitem__, _pieces(t, pattern))) for t in texts]
+            names, held = _pieces(texts, pattern)
             texts.clear()
             named: defaultdict = defaultdict()
             named.default_factory = named.__len__
             of_piece, ends = array("I"), [0]
-            for piece in named_pieces(list(numbers)):
-                of_piece.extend(map(named.__getitem__, _cut(piece.decode("utf-8", "replace"), matches, pattern)))
+            for name in names:
+                of_piece.extend(map(named.__getitem__, _cut(name, matches, pattern)))
                 ends.append(len(of_piece))
-            numbers.clear()
-            words = [w.encode() for w in named]
+            del names
+            words = list(named)
             named.clear()
             found = table.find(words, tokens)
             new = np.flatnonzero(found < 0)
@@ -312,7 +319,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
                 size += len(r)
                 if size > BATCH_PIECES or i == len(held) - 1:
                     some = held[start : i + 1]
-                    at = np.concatenate([np.frombuffer(x, np.uint32) for x in some]).astype(np.int64)
+                    at = np.concatenate(some).astype(np.int64)
                     ids, lengths = gather(piece_ends, piece_ids, at)
                     sums = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum([len(x) for x in some])])]
                     marked = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((4 * sums).astype("<i4").tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])

@@ -237,3 +237,32 @@ def test_packing_holds_one_run_of_texts_at_a_time():
     assert got == [(k, None if t is None else zlib.crc32(t.encode())) for k, t in enumerate(made)][1:]
     assert peak < 6_000_000 < sum(sizes) and max(sizes) < 2_500_000
     assert packing.MOST_PIECES <= 300_000
+
+
+def test_texts_are_numbered_as_they_are_cut():
+    """The same pieces as one text after another, and the pattern's own matches in each."""
+    import regex
+
+    from causalframe.llm.pieces import cut_named, number_named
+
+    made = [None, b"", b" ", b"\n", b"one", b" one two", b"one two\nthree, four. f\xc3\xbcr,", b"\ntwo", b"a  b", b"x\n\ny one", "em space".encode(), b"end ", b"it's 42,000 <|x|> don't", b"one two", b"bad \xff byte"]
+    names, numbers = number_named(made)
+    assert [[names[k] for k in x.tolist()] for x in numbers] == [cut_named(t) if t else [] for t in made]
+    assert number_named([]) == ([], []) and [len(x) for x in number_named([None, b"a  b"])[1]] == [0, 2]
+    matches = regex.compile(P.PATTERN).findall
+    for t, x in zip(made, numbers):
+        assert [w for k in x.tolist() for w in byte_bpe._cut(names[k], matches, P.PATTERN)] == [w.encode() for w in matches((t or b"").decode("utf-8", "replace"))]
+    whole_names, whole = byte_bpe._pieces(made, r"\w+|\W+")
+    assert [[whole_names[k] for k in x.tolist()] for x in whole] == [[b" " + t] if t else [] for t in made]
+
+
+def test_fold_looks_up_first_pairs_at_once(spark):
+    """A word's first pairs come from one place each: the pair's two slots are worked out only after a merge."""
+    from pyspark.sql import functions as F
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"\xff\xff": 258}
+    assert str(byte_bpe.encode_words(F.col("word"), ranks)).count("*") <= 30
+    made = [b"", b"a", b"\xff", b"abcab", b"\xff\xff\xff", b"bab\x00", None]
+    rows = spark.createDataFrame([(i, None if w is None else list(w)) for i, w in enumerate(made)], "i int, word array<smallint>")
+    got = {r.i: r.ids for r in rows.select("i", byte_bpe.encode_words(F.col("word"), ranks).alias("ids")).collect()}
+    assert got == dict(enumerate([[], [97], [255], [257, 256], [258, 255], [98, 256, 0], None]))
